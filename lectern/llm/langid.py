@@ -20,18 +20,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-import regex
-
 from lectern.llm.batches import cut
 
 WORDS = regex.compile(r"\p{L}+")
 LONGEST_PIECE = 16
 UNSEEN = 1e-7
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Of this Python worker: scores of words met in earlier tasks under the same model; one model at a time.
+_WORKER: dict = {}
 
 
 def default_vocabulary() -> str:
@@ -147,7 +148,7 @@ def forward(words: list[str], probs: np.ndarray, pieces: Pieces) -> np.ndarray:
     return out
 
 
-def fit(counts: list[Counter], pieces: Pieces, rounds: int = 3, smooth: float = 0.5) -> np.ndarray:
+def fit(counts: list[Counter], pieces: Pieces, rounds: int = 2, smooth: float = 0.5) -> np.ndarray:
     """Piece probabilities of each language from word counts, by expectation maximisation over all segmentations."""
     words = sorted(set().union(*counts)) if counts else []
     words = [w for w in words if len(w) <= 64]
@@ -181,7 +182,7 @@ def fit(counts: list[Counter], pieces: Pieces, rounds: int = 3, smooth: float =
     return probs
 
 
-def train(docs: DataFrame, path: str | None = None, sample_docs: int = 300, sample_chars: int = 20_000) -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame, path: str | None = None, sample_docs: int = 120, sample_chars: int = 20_000) -> tuple[list[str], np.ndarray]:
     """(languages by code point, piece probabilities) from documents whose crc32(doc_id as text) mod 5 isn't 0.
 
     Two passes: the sample's ids from narrow columns (a rank limit that Spark applies before the shuffle), then their
@@ -213,8 +214,11 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str | N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = vocabulary(where)
         k = max(1, len(names))
-        at: dict[str, int] = {}
-        table = np.zeros((cached_words * 2, k + 1))
+        key = (where, cached_words, tuple(names), hash(probs.tobytes()))
+        if key not in _WORKER:
+            _WORKER.clear()
+            _WORKER[key] = ({}, np.zeros((cached_words * 2, k + 1)))
+        at, table = _WORKER[key]
 
         def learn(words: set[str]) -> None:
             """Rows of the table for words as they stand in the text, from those of the letter runs in them."""
@@ -236,6 +240,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str | N
                     new = set().union(*split)
                 if len(new) > len(table):
                     table = np.zeros((len(new), k + 1))
+                    _WORKER[key] = (at, table)
                 if names:
                     learn(new)
                 pred, score = [], []
