@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from lectern.llm import bpe, langid, mixing, quality, quotes, urls
+from lectern.llm import bpe, langid, minhash, mixing, quality, quotes, suffixes, urls
 
 
 def queries() -> dict:
     return {
         "op2_language_id": langid.op2_language_id,
+        "op4_suffix_dedup": suffixes.op4_suffix_dedup,
         "op5_mixing": mixing.op5_mixing,
         "op6_quality_rules": quality.op6_quality_rules,
         "op7_quotation_linking": quotes.op7_quotation_linking,
+        "op8_minhash_tensored": minhash.op8_minhash_tensored,
         "op9_bpe_tree": bpe.op9_bpe_tree,
         "op10_url_filter": urls.op10_url_filter,
     }
