@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from lectern.llm import bpe, langid, minhash, mixing, quality, quotes, suffixes, urls
+from lectern.llm import bpe, covertree, langid, minhash, mixing, quality, quotes, suffixes, urls, warc
 
 
 def queries() -> dict:
     return {
+        "op1_cover_tree": covertree.op1_cover_tree,
         "op2_language_id": langid.op2_language_id,
+        "op3_warc_packages": warc.op3_warc_packages,
         "op4_suffix_dedup": suffixes.op4_suffix_dedup,
         "op5_mixing": mixing.op5_mixing,
         "op6_quality_rules": quality.op6_quality_rules,
