@@ -9,8 +9,9 @@ collections of `bands` band values of `rows` minhashes each are computed, A and
    under its smallest doc_id, with map-side combination, so copies cost a row a task.
 2. A bands that only one class has are dropped before the product with B is made.
 3. Each class is checked against the smallest member of each of its table buckets, on full sets; links give components.
-4. Exactness: what is left are pairs in one bucket but in different components. Each is made once, in the first table
-   that its two classes share, and checked on full sets; no bucket, partner or candidate is capped.
+4. Exactness: classes in a bucket with classes of other components stay open. Pairs of open classes of different
+   components that share an element of their prefixes (a bound that loses no link) are checked on full sets; no
+   bucket, partner or candidate is capped.
 
 Links hold where 100 * |A and B| >= 100 * threshold * |A or B|. Null texts and texts without words have no shingles
 and link with nothing. Rows of one doc_id are one node. Repeated rows give repeated results. Other columns aren't read.
@@ -25,6 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lectern.llm.batches import cut
 from lectern.plans.components import connected_components
@@ -132,6 +134,35 @@ def _similar_sizes(n: Column, m: Column, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
+def _open_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """(x, y, cx, cy): pairs of members (id, s, component) of different components that may link, by prefixes.
+
+    Sets of similarity p share an element among the n - ceil(p n) + 1 rarest of each, in any one order of elements.
+    With the order by the number of members that hold an element, elements of one member alone come first: a set with
+    more of those than the prefix is long links with nothing, and copies with edits of their own meet nobody.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in cut(batch, "s", 1 << 20):
+                sets = [np.frombuffer(v.as_buffer(), np.int64) for v in part.column("s")]
+                i = pa.array(np.repeat(np.arange(len(sets)), [len(v) for v in sets]), pa.int64())
+                sizes = pa.array([len(v) for v in sets], pa.int64())
+                own = pa.array([xxhash.xxh3_64_intdigest(v.tobytes()) - (1 << 63) for v in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("id").take(i), own.take(i), part.column("component").take(i), sizes.take(i), pa.array(np.concatenate(sets))], ["id", "own", "component", "n", "e"])
+
+    elements = materialize(members.select("id", "component", "s").mapInArrow(run, "id bigint, own bigint, component bigint, n bigint, e bigint"), "elements")
+    held = elements.groupBy("e").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    each = Window.partitionBy("id", "own")
+    prefix = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
+    shared = elements.join(held, "e").withColumn("alone", F.col("n") - F.count(F.lit(1)).over(each)).withColumn("rank", F.row_number().over(each.orderBy("c", "e")))
+    shared = materialize(shared.where(F.col("alone") + F.col("rank") <= prefix).select("id", "component", "n", "e"), "prefixes")
+    p, q = shared.alias("p"), shared.alias("q")
+    met = (F.col("p.component") < F.col("q.component")) & _similar_sizes(F.col("p.n"), F.col("q.n"), percent)
+    pairs = p.join(q, (F.col("p.e") == F.col("q.e")) & met)
+    return pairs.select(F.col("p.id").alias("x"), F.col("q.id").alias("y"), F.col("p.component").alias("cx"), F.col("q.component").alias("cy")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = THRESHOLD, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each row of docs."""
     sketches = materialize(sketch(docs, width, bands, rows), "sketches")
@@ -142,8 +173,8 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD, width: int = WIDT
     shared = ones.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("i", "v")
     some = ones.join(shared, ["i", "v"], "left_semi").groupBy("id").agg(F.collect_set("i").alias("is"))
     wide = classes.join(some, "id").select("id", "n", "a", "b", F.explode("is").alias("i"))
-    wide = wide.select("id", "n", "a", "b", "i", F.posexplode("b").alias("j", "bv"))
-    tables = wide.withColumn("key", F.xxhash64("i", "j", F.get("a", F.col("i")), "bv")).drop("bv")
+    wide = wide.select("id", "n", F.get("a", F.col("i")).alias("av"), "i", F.posexplode("b").alias("j", "bv"))
+    tables = wide.select("id", "n", F.xxhash64("i", "j", "av", "bv").alias("key"))
     buckets = tables.groupBy("key").agg(F.min(F.struct("id", "n")).alias("first"), F.max("id").alias("last")).where("first.id <> last").select("key", F.col("first.id").alias("y"), F.col("first.n").alias("m"))
     tables = materialize(tables.join(buckets, "key"), "tables")
     sets = materialize(_full_sets(docs, tables.select("id").distinct(), width).distinct(), "sets")
@@ -152,15 +183,10 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD, width: int = WIDT
     linked = materialize(_links(stars, sets, percent), "links")
     first = connected_components(linked, "x", "y")
 
-    placed = tables.select("key", "id", "n", "a", "b", "i", "j").join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = tables.select("key", "id").join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    open_ = materialize(placed.join(mixed, "key", "left_semi"), "open")
-    p, q = open_.alias("p"), open_.alias("q")
-    same_a = F.array_position(F.zip_with("p.a", "q.a", lambda u, v: u == v), True) - 1
-    same_b = F.array_position(F.zip_with("p.b", "q.b", lambda u, v: u == v), True) - 1
-    met = (F.col("p.component") < F.col("q.component")) & _similar_sizes(F.col("p.n"), F.col("q.n"), percent) & (same_a == F.col("p.i")) & (same_b == F.col("p.j"))
-    pairs = p.join(q, (F.col("p.key") == F.col("q.key")) & met).select(F.col("p.id").alias("x"), F.col("q.id").alias("y"), F.col("p.component").alias("cx"), F.col("q.component").alias("cy"))
-    pairs = materialize(pairs, "pairs")
+    open_ = placed.join(mixed, "key", "left_semi").select("id", "component").distinct()
+    pairs = materialize(_open_pairs(sets.join(open_, "id"), percent), "pairs")
     more = _links(pairs.select("x", "y"), sets, percent).join(pairs, ["x", "y"]).select("cx", "cy").distinct()
     second = connected_components(more, "cx", "cy").select(F.col("node").alias("component"), F.col("component").alias("joined"))
     parts = classes.select("h1", "h2", F.col("n").alias("n_shingles"), "id").join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
