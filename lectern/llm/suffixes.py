@@ -231,7 +231,8 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, width: int = RANGE
     texts = docs.select("kd", "kh", "text")
     runs = materialize(_runs(texts, window), "runs")
     met = runs.groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("h0"), F.max("h").alias("h1")).where("n > 1").select("f", (F.col("h0") == F.col("h1")).alias("alike"))
-    met = materialize(runs.join(met, "f"), "met")
+    # a table of its own: a join right on the aggregate could not split an anchor that many runs have
+    met = materialize(runs.join(materialize(met, "anchors"), "f"), "met")
     classes = met.where("not alike").groupBy("f", "h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("kd", "kh", "lo", "hi", "at")).alias("r"))
     classes = materialize(classes, "classes")
     whole = met.where("alike").select("kd", "kh", "lo", "hi").unionByName(met.where("not alike").join(classes.where("n > 1").select("f", "h"), ["f", "h"], "left_semi").select("kd", "kh", "lo", "hi"))
