@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -25,8 +26,39 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/lectern/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: a lost executor costs no recomputation past it."""
-    path = fresh_path(df.sparkSession, tag)
+def _write(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back: a lost executor costs no recomputation past it."""
+    return _write(df, fresh_path(df.sparkSession, tag))
+
+
+class Workspace:
+    """The tables of one operator. `finish` writes its result and drops the tables before it, with what finished jobs
+    left in shuffle files, so that a chain of operators holds one operator's tables at a time."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def table(self, df: DataFrame, tag: str) -> DataFrame:
+        path = fresh_path(self.spark, tag)
+        out = _write(df, path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing reads any more."""
+        jvm = self.spark._jvm
+        for t in tables:
+            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(t))[0])
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def finish(self, df: DataFrame, tag: str) -> DataFrame:
+        out = materialize(df, tag)
+        self.drop(*[t for _, t in list(self.paths.values())])
+        gc.collect()
+        self.spark._jvm.System.gc()
+        return out
