@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.plans.stage import materialize
+from lectern.plans.stage import Workspace, materialize
 
 #: Fixed value: the weights, repeated over the sources in order.
 WEIGHTS = (3, 1, 2)
@@ -46,8 +46,9 @@ def targets(sizes: DataFrame, share: float = 1.5, most_epochs: float = 2.0, weig
     t = sizes.withColumn("weight", w).withColumn("cap", F.col("source_size") * F.lit(float(most_epochs)))
     t = t.withColumn("ratio", F.col("cap") / F.col("weight")).withColumn("budget", F.sum("source_size").over(every) * F.lit(float(share)))
     t = t.withColumn("level", (F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after))
-    t = t.withColumn("open", F.col("ratio") > F.col("level"))
-    level = F.min(F.when(F.col("open"), F.struct("ratio", "level"))).over(every)["level"]
+    t = t.withColumn("place", F.row_number().over(fill)).withColumn("open", F.col("ratio") > F.col("level"))
+    # the first open source's level; later ones of the same ratio would count it as stopped
+    level = F.min(F.when(F.col("open"), F.struct("place", "level"))).over(every)["level"]
     t = t.withColumn("fill", F.coalesce(level, F.lit(float("inf"))))
     return t.select("source", "source_size", F.least(F.col("cap"), F.col("weight") * F.col("fill")).alias("target"))
 
@@ -75,38 +76,52 @@ def apportion(t: DataFrame, group: list[str], unit: str, share: str, seats: str,
 
 
 def measured(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """docs with what a draw needs of the text: its size and its dice."""
-    return docs.drop("size", "source_size", "target", "taken").withColumn("size", n_words(F.col("text"))).withColumn("__dice", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")))
+    """doc_id, source, size and dice: what a draw needs of a document."""
+    dice = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
+    return docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), dice.alias("dice"))
 
 
-def mix(docs: DataFrame, seed: int = 7, share: float = 1.5, most_epochs: float = 2.0, block: int = 16, shard_words: int = 16_384, most_shards: int = 4096) -> DataFrame:
-    """docs with size, source_size, target and taken. Columns of those names in docs are replaced.
-
-    Texts are read once: the measured rows are written to the shared folder, unless docs are measured already.
-    """
-    if "__dice" not in docs.columns:
-        docs = materialize(measured(docs, seed), "measured")
-    sizes = docs.select("source", "size").groupBy("source").agg(F.sum("size").cast("bigint").alias("source_size"))
+def draw(narrow: DataFrame, seed: int = 7, share: float = 1.5, most_epochs: float = 2.0, block: int = 16, shard_words: int = 16_384, most_shards: int = 4096) -> DataFrame:
+    """Measured documents with source_size, target and taken."""
+    sizes = narrow.groupBy("source").agg(F.sum("size").cast("bigint").alias("source_size"))
     t = targets(sizes, share, most_epochs)
     t = t.withColumn("__all", F.round(F.sum("target").over(Window.partitionBy()) / block).cast("bigint")).withColumn("__one", F.lit(1))
     t = apportion(t, ["__one"], "source", "target", "__seats", "__all")
     t = t.withColumn("__shards", F.greatest(F.lit(1), F.least(F.lit(most_shards), (F.col("source_size") / shard_words).cast("int"))))
     t = t.select(F.col("source").alias("__source"), "source_size", "target", "__seats", "__shards")
-    rows = docs.join(t, docs.source.eqNullSafe(t["__source"]))
+    rows = narrow.join(t, narrow.source.eqNullSafe(t["__source"]))
     rows = rows.withColumn("__shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), "__shards").cast("int"))
     cells = rows.groupBy("__source", "__shard", "__seats").agg(F.sum("size").cast("double").alias("__size"))
     cells = apportion(cells, ["__source"], "__shard", "__size", "__quota", "__seats").select(F.col("__source").alias("__cs"), F.col("__shard").alias("__ch"), "__size", "__quota")
-    in_order = Window.partitionBy("__source", "__shard").orderBy("__dice", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    in_order = Window.partitionBy("__source", "__shard").orderBy("dice", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("__before", F.coalesce(F.sum("size").over(in_order), F.lit(0)))
     rows = rows.join(cells, rows["__source"].eqNullSafe(cells["__cs"]) & (rows["__shard"] == cells["__ch"]))
     words = F.least(F.col("__quota") * F.lit(block), (F.col("__size") * most_epochs).cast("bigint"))
     rounds = F.when(F.col("__size") > 0, F.floor(words / F.col("__size"))).otherwise(F.lit(0)).cast("bigint")
     rest = words - rounds * F.col("__size").cast("bigint")
     taken = rounds * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("__before")))
-    return rows.withColumn("taken", F.least(taken, (F.col("size") * most_epochs).cast("bigint")).cast("bigint")).drop("__dice", "__source", "__seats", "__shards", "__shard", "__size", "__quota", "__before", "__cs", "__ch")
+    return rows.withColumn("taken", F.least(taken, (F.col("size") * most_epochs).cast("bigint")).cast("bigint")).select("doc_id", "source", "size", "dice", "source_size", "target", "taken")
+
+
+def mix(docs: DataFrame, seed: int = 7, share: float = 1.5, most_epochs: float = 2.0, block: int = 16, shard_words: int = 16_384, most_shards: int = 4096) -> DataFrame:
+    """docs with size, source_size, target and taken. Columns of those names in docs are replaced.
+
+    The draw runs over narrow rows, written to the shared folder; texts are dealt once, to meet it by doc_id and dice.
+    Rows alike in both are numbered on either side, so each gets a draw of its own.
+    """
+    docs = docs.drop("size", "source_size", "target", "taken")
+    space = Workspace(docs.sparkSession)
+    drawn = space.finish(draw(space.table(measured(docs, seed), "measured"), seed, share, most_epochs, block, shard_words, most_shards), "drawn")
+    key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))
+    one = F.struct("taken", "size", "source_size", "target")
+    sets = drawn.groupBy(key.alias("__id"), F.col("dice").alias("__dice"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("__src")).agg(F.array_sort(F.collect_list(one)).alias("__draws"))
+    rows = docs.withColumn("__id", key).withColumn("__dice", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))).withColumn("__src", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+    alike = Window.partitionBy("__id", "__dice", "__src").orderBy("__id")
+    met = rows.withColumn("__n", F.row_number().over(alike)).join(sets, ["__id", "__dice", "__src"]).withColumn("__draw", F.element_at("__draws", F.col("__n")))
+    return met.select(*docs.columns, "__draw.size", "__draw.source_size", "__draw.target", "__draw.taken")
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    narrow = materialize(measured(docs.select("doc_id", "source", "text")).drop("text"), "measured")
-    return mix(narrow).select("doc_id", "size", "source_size", "target", "taken")
+    narrow = materialize(measured(docs), "measured")
+    return draw(narrow).select("doc_id", "size", "source_size", "target", "taken")
