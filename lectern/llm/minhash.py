@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 
 from lectern.llm.batches import cut
 from lectern.plans.components import connected_components
-from lectern.plans.stage import materialize
+from lectern.plans.stage import Workspace
 
 WIDTH, BANDS, ROWS, THRESHOLD = 5, 8, 2, 85
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -134,7 +134,7 @@ def _similar_sizes(n: Column, m: Column, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
-def _open_pairs(members: DataFrame, percent: int) -> DataFrame:
+def _open_pairs(space: Workspace, members: DataFrame, percent: int) -> DataFrame:
     """(x, y, cx, cy): pairs of members (id, s, component) of different components that may link, by prefixes.
 
     Sets of similarity p share an element among the n - ceil(p n) + 1 rarest of each, in any one order of elements.
@@ -151,12 +151,12 @@ def _open_pairs(members: DataFrame, percent: int) -> DataFrame:
                 own = pa.array([xxhash.xxh3_64_intdigest(v.tobytes()) - (1 << 63) for v in sets], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("id").take(i), own.take(i), part.column("component").take(i), sizes.take(i), pa.array(np.concatenate(sets))], ["id", "own", "component", "n", "e"])
 
-    elements = materialize(members.select("id", "component", "s").mapInArrow(run, "id bigint, own bigint, component bigint, n bigint, e bigint"), "elements")
+    elements = space.table(members.select("id", "component", "s").mapInArrow(run, "id bigint, own bigint, component bigint, n bigint, e bigint"), "elements")
     held = elements.groupBy("e").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     each = Window.partitionBy("id", "own")
     prefix = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
     shared = elements.join(held, "e").withColumn("alone", F.col("n") - F.count(F.lit(1)).over(each)).withColumn("rank", F.row_number().over(each.orderBy("c", "e")))
-    shared = materialize(shared.where(F.col("alone") + F.col("rank") <= prefix).select("id", "component", "n", "e"), "prefixes")
+    shared = space.table(shared.where(F.col("alone") + F.col("rank") <= prefix).select("id", "component", "n", "e"), "prefixes")
     p, q = shared.alias("p"), shared.alias("q")
     met = (F.col("p.component") < F.col("q.component")) & _similar_sizes(F.col("p.n"), F.col("q.n"), percent)
     pairs = p.join(q, (F.col("p.e") == F.col("q.e")) & met)
@@ -165,9 +165,10 @@ def _open_pairs(members: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = THRESHOLD, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each row of docs."""
-    sketches = materialize(sketch(docs, width, bands, rows), "sketches")
+    space = Workspace(docs.sparkSession)
+    sketches = space.table(sketch(docs, width, bands, rows), "sketches")
     classes = sketches.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("id"), F.first("a").alias("a"), F.first("b").alias("b"))
-    classes = materialize(classes, "classes")
+    classes = space.table(classes, "classes")
 
     ones = classes.select("id", F.posexplode("a").alias("i", "v"))
     shared = ones.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("i", "v")
@@ -176,24 +177,24 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD, width: int = WIDT
     wide = wide.select("id", "n", F.get("a", F.col("i")).alias("av"), "i", F.posexplode("b").alias("j", "bv"))
     tables = wide.select("id", "n", F.xxhash64("i", "j", "av", "bv").alias("key"))
     buckets = tables.groupBy("key").agg(F.min(F.struct("id", "n")).alias("first"), F.max("id").alias("last")).where("first.id <> last").select("key", F.col("first.id").alias("y"), F.col("first.n").alias("m"))
-    tables = materialize(tables.join(buckets, "key"), "tables")
-    sets = materialize(_full_sets(docs, tables.select("id").distinct(), width).distinct(), "sets")
+    tables = space.table(tables.join(buckets, "key"), "tables")
+    sets = space.table(_full_sets(docs, tables.select("id").distinct(), width).distinct(), "sets")
 
     stars = tables.where(F.col("id") != F.col("y")).where(_similar_sizes(F.col("n"), F.col("m"), percent)).select(F.col("id").alias("x"), "y").distinct()
-    linked = materialize(_links(stars, sets, percent), "links")
+    linked = space.table(_links(stars, sets, percent), "links")
     first = connected_components(linked, "x", "y")
 
     placed = tables.select("key", "id").join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     open_ = placed.join(mixed, "key", "left_semi").select("id", "component").distinct()
-    pairs = materialize(_open_pairs(sets.join(open_, "id"), percent), "pairs")
+    pairs = space.table(_open_pairs(space, sets.join(open_, "id"), percent), "pairs")
     more = _links(pairs.select("x", "y"), sets, percent).join(pairs, ["x", "y"]).select("cx", "cy").distinct()
     second = connected_components(more, "cx", "cy").select(F.col("node").alias("component"), F.col("component").alias("joined"))
     parts = classes.select("h1", "h2", F.col("n").alias("n_shingles"), "id").join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     parts = parts.join(second, "component", "left").select("h1", "h2", "n_shingles", F.coalesce("joined", "component").alias("component_id"))
     out = sketches.select("doc_id", "n_shingles", "h1", "h2").join(parts, ["h1", "h2", "n_shingles"], "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return space.finish(out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")), "near")
 
 
 def op8_minhash_tensored(spark, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.batches import cut, text_bytes
 from lectern.llm.grouping import suffix_array
-from lectern.plans.stage import materialize
+from lectern.plans.stage import Workspace
 
 WINDOW, GRAM, RANGE, HOT = 400, 48, 32, 4096
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -228,21 +228,25 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def repeated_intervals(docs: DataFrame, window: int = WINDOW, width: int = RANGE, hot: int = HOT) -> DataFrame:
     """(kd, kh, intervals: array of (start, stop) bytes) of keyed documents that hold a repeated string."""
+    space = Workspace(docs.sparkSession)
     texts = docs.select("kd", "kh", "text")
-    runs = materialize(_runs(texts, window), "runs")
+    runs = space.table(_runs(texts, window), "runs")
     met = runs.groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("h0"), F.max("h").alias("h1")).where("n > 1").select("f", (F.col("h0") == F.col("h1")).alias("alike"))
     # a table of its own: a join right on the aggregate could not split an anchor that many runs have
-    met = materialize(runs.join(materialize(met, "anchors"), "f"), "met")
+    met = space.table(runs.join(space.table(met, "anchors"), "f"), "met")
     classes = met.where("not alike").groupBy("f", "h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("kd", "kh", "lo", "hi", "at")).alias("r"))
-    classes = materialize(classes, "classes")
+    classes = space.table(classes, "classes")
+    space.drop(runs)
     whole = met.where("alike").select("kd", "kh", "lo", "hi").unionByName(met.where("not alike").join(classes.where("n > 1").select("f", "h"), ["f", "h"], "left_semi").select("kd", "kh", "lo", "hi"))
     whole = whole.select("kd", "kh", F.col("lo").alias("start"), (F.col("hi") + window).alias("stop"))
 
     picked = classes.select(F.col("r.kd").alias("kd"), F.col("r.kh").alias("kh"), F.struct("f", "r.lo", "r.hi", "r.at").alias("r")).groupBy("kd", "kh").agg(F.collect_list("r").alias("runs"))
-    ranges = materialize(_ranges(texts.join(picked, ["kd", "kh"]), window, width), "ranges")
+    ranges = space.table(_ranges(texts.join(picked, ["kd", "kh"]), window, width), "ranges")
     edge_hash = F.xxhash64("edges", "nl")
     cores = ranges.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min(edge_hash).alias("e0"), F.max(edge_hash).alias("e1")).where("n > 1").select("k1", "k2", "n", (F.col("e0") == F.col("e1")).alias("alike"))
-    ranges = materialize(ranges.join(cores, ["k1", "k2"]), "cores")
+    cut_ = ranges
+    ranges = space.table(ranges.join(cores, ["k1", "k2"]), "cores")
+    space.drop(cut_)
     nr = F.length("edges") - F.col("nl")
     # starts of strings in a range, as bytes before its core: from the least to the most that the text allows
     least, most = F.lit(width - 1) - nr, F.col("nl")
@@ -261,7 +265,8 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, width: int = RANGE
     masks = copies.unionByName(solved).unionByName(dealt).groupBy("k1", "k2", "nl", "edges").agg(F.bit_or("mask").alias("mask"))
     bits = F.expr(f"filter(sequence(0, {width - 1}), i -> (mask & shiftleft(1L, i)) <> 0)")
     some = open_.join(masks, ["k1", "k2", "nl", "edges"]).select("kd", "kh", "core", F.explode(bits).alias("x")).select("kd", "kh", (F.col("core") - x).alias("start"), (F.col("core") - x + window).alias("stop"))
-    return whole.unionByName(every).unionByName(some).groupBy("kd", "kh").agg(F.collect_list(F.struct("start", "stop")).alias("intervals"))
+    found = whole.unionByName(every).unionByName(some).groupBy("kd", "kh").agg(F.collect_list(F.struct("start", "stop")).alias("intervals"))
+    return space.finish(found, "intervals")
 
 
 def deduplicate(docs: DataFrame, window: int = WINDOW, width: int = RANGE, hot: int = HOT, keep_text: bool = True) -> DataFrame:
