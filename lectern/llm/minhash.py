@@ -156,9 +156,12 @@ def _open_pairs(space: Workspace, members: DataFrame, percent: int) -> DataFrame
     each = Window.partitionBy("id", "own")
     prefix = F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1
     shared = elements.join(held, "e").withColumn("alone", F.col("n") - F.count(F.lit(1)).over(each)).withColumn("rank", F.row_number().over(each.orderBy("c", "e")))
-    shared = space.table(shared.where(F.col("alone") + F.col("rank") <= prefix).select("id", "component", "n", "e"), "prefixes")
+    shared = shared.withColumn("pos", F.col("alone") + F.col("rank")).where(F.col("pos") <= prefix)
+    shared = space.table(shared.select("id", "component", "n", "e", "pos"), "prefixes")
     p, q = shared.alias("p"), shared.alias("q")
-    met = (F.col("p.component") < F.col("q.component")) & _similar_sizes(F.col("p.n"), F.col("q.n"), percent)
+    # at a pair's first common element, what follows it in either set must suffice for the overlap that the pair needs
+    enough = lambda s: (F.col(f"{s}.n") - F.col(f"{s}.pos") + 1) * (100 + percent) >= percent * (F.col("p.n") + F.col("q.n"))
+    met = (F.col("p.component") < F.col("q.component")) & _similar_sizes(F.col("p.n"), F.col("q.n"), percent) & enough("p") & enough("q")
     pairs = p.join(q, (F.col("p.e") == F.col("q.e")) & met)
     return pairs.select(F.col("p.id").alias("x"), F.col("q.id").alias("y"), F.col("p.component").alias("cx"), F.col("q.component").alias("cy")).distinct()
 
