@@ -61,9 +61,9 @@ def code(t: Column, profile: str = "notebook") -> Column:
     n = count_of(t, CODE_CHARS[profile])
     dense = (F.length(t) > 5) & (n / F.greatest(F.length(t), F.lit(1)) > CODE_SHARE[profile])
     few = n_words(t)
-    shared = t.startswith("```") | dense | t.rlike(SNAKE) | t.rlike(OPERATOR) | t.rlike(CODE_END) | t.rlike(COMMENT) | t.rlike(CONSTRUCTOR) | t.rlike(DUNDER)
+    shared = dense | any_of(t, ("^```", SNAKE, OPERATOR, CODE_END, COMMENT, CONSTRUCTOR, DUNDER))
     if profile == "backend":
-        return (t != "") & (shared | t.rlike(CAMEL) | (t.rlike(CALL) & (n >= 2)) | t.rlike(NUMBERED_CONSTRUCTOR))
+        return (t != "") & (shared | any_of(t, (CAMEL, NUMBERED_CONSTRUCTOR)) | (t.rlike(CALL) & (n >= 2)))
     camel = t.rlike(CAMEL) & (few <= 5) & (count_of(t, ",") < 2)
     return (t != "") & (shared | camel | (t.rlike(CALL) & (n >= 3) & (few <= 8)) | (t.rlike(DOTTED) & (few <= 3)))
 

@@ -17,7 +17,7 @@ BEFORE, AFTER = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{WS}]+|[{WS}]+$", "")
+    return F.btrim(c, F.lit(WS))
 
 
 def words(c: Column) -> Column:
@@ -25,7 +25,8 @@ def words(c: Column) -> Column:
 
 
 def n_words(c: Column) -> Column:
-    return F.size(words(c)).cast("bigint")
+    t = strip(c)
+    return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, f"[{WS}]+", -1))).cast("bigint")
 
 
 def count_of(c: Column, klass: str) -> Column:
@@ -34,10 +35,8 @@ def count_of(c: Column, klass: str) -> Column:
 
 
 def any_of(c: Column, patterns: tuple[str, ...]) -> Column:
-    out = c.rlike(patterns[0])
-    for p in patterns[1:]:
-        out = out | c.rlike(p)
-    return out
+    """Whether c holds any of the patterns: one alternation, so one call in generated code."""
+    return c.rlike("|".join(f"(?i:{p[4:]})" if p.startswith("(?i)") else f"(?:{p})" for p in patterns))
 
 
 def first_char_set(names: tuple[str, ...]) -> Callable[[Column], Column]:

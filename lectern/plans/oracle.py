@@ -222,7 +222,7 @@ def selects() -> dict[str, str]:
         "kp_sentence": f"select {p}, phrase, coalesce(list_filter(list_transform(string_split(regexp_replace(clean_text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x), lambda x: contains(lower(x), phrase))[1], left(clean_text, 200)) as appears_in from phrases",
         "kp_limit": f"select {p}, phrase, rank from (select *, row_number() over (partition by {KEY} order by score desc, ord) as rank from best) where rank <= 3",
         "kp_topk": f"select {p}, phrase, score from (select *, row_number() over (partition by {KEY} order by score desc, ord) as rank from best) where rank <= 4 and score >= 0.5",
-        "kp_stats": "select doc_id, coalesce(n_phrases, 0) as n_phrases, n_slides, round(coalesce(n_phrases, 0) / n_slides, 4) as mean_phrases from (select doc_id, count(*) as n_slides from content group by doc_id) left join (select doc_id, count(*) as n_phrases from phrases group by doc_id) using (doc_id)",
+        "kp_stats": "select doc_id, coalesce(n_phrases, 0) as n_phrases, n_slides, round_even(coalesce(n_phrases, 0) / n_slides, 4) as mean_phrases from (select doc_id, count(*) as n_slides from content group by doc_id) left join (select doc_id, count(*) as n_phrases from phrases group by doc_id) using (doc_id)",
         "kp_score_cos": "select vec_id, round(c, 4) as score from cosines",
         "kp_dedup": f"select cast(label as varchar) as doc_id, x.id as vec_id from (select label, unnest(list_reduce(xs, lambda acc, x: case when len(list_filter(acc, lambda k: list_cosine_similarity(k.v, x.v) >= {NEAR})) > 0 then acc else list_append(acc, x) end, xs[1:0])) as x from (select label, list({{'id': vec_id, 'v': v}} order by vec_id) as xs from vecs group by label))",
         "kp_fallback": f"select {p}, phrase, score from (with n as (select {KEY}, count(*) as n from best group by {KEY}), poor as (select t.doc_id, t.slide_id, t.page_number from texts t left join n on n.doc_id = t.doc_id and n.slide_id = t.slide_id and n.page_number = t.page_number where t.ok and coalesce(n.n, 0) <= 3 and {d_n_words('t.text')} >= 20) select b.doc_id, b.slide_id, b.page_number, b.phrase, b.score from best b anti join poor o on b.doc_id = o.doc_id and b.slide_id = o.slide_id and b.page_number = o.page_number union all select c.doc_id, c.slide_id, c.page_number, {d_strip('lower(c.chunk)')}, 0.4 from chunks c semi join poor o on c.doc_id = o.doc_id and c.slide_id = o.slide_id and c.page_number = o.page_number where {P.d_valid(d_strip('lower(c.chunk)'))})",
@@ -239,7 +239,7 @@ def selects() -> dict[str, str]:
         "tr_synonym": f"select p, x.way as way, x.o as o, {P.d_synonyms('p', 'x.o')} as same from gpairs",
         "tr_sem_dedup": f"select {p}, x.subject as subject, x.object as object, x.confidence as confidence from ({sem('paired')})",
         "tr_rel_dist": "select relation, count(*) as n from passedt group by relation",
-        "tr_stats": f"select doc_id, n_slides, n_slides - coalesce(n_busy, 0) as n_skipped, coalesce(n_raw, 0) as n_raw, coalesce(n_passed, 0) as n_passed, coalesce(n_kept, 0) as n_kept, case when coalesce(n_raw, 0) > 0 then round(coalesce(n_passed, 0) / n_raw, 4) else 0.0 end as pass_rate from (select doc_id, count(*) as n_slides from content group by doc_id) left join (select doc_id, count(*) as n_raw, count(distinct slide_id) as n_busy from rawt group by doc_id) using (doc_id) left join (select doc_id, count(*) as n_passed from passedt group by doc_id) using (doc_id) left join (select doc_id, count(*) as n_kept from ({dp.format(src='passedt')}) group by doc_id) using (doc_id)",
+        "tr_stats": f"select doc_id, n_slides, n_slides - coalesce(n_busy, 0) as n_skipped, coalesce(n_raw, 0) as n_raw, coalesce(n_passed, 0) as n_passed, coalesce(n_kept, 0) as n_kept, case when coalesce(n_raw, 0) > 0 then round_even(coalesce(n_passed, 0) / n_raw, 4) else 0.0 end as pass_rate from (select doc_id, count(*) as n_slides from content group by doc_id) left join (select doc_id, count(*) as n_raw, count(distinct slide_id) as n_busy from rawt group by doc_id) using (doc_id) left join (select doc_id, count(*) as n_passed from passedt group by doc_id) using (doc_id) left join (select doc_id, count(*) as n_kept from ({dp.format(src='passedt')}) group by doc_id) using (doc_id)",
         "tr_resolve": f"select rank, p as subject from (select p, dense_rank() over (order by p) as rank, {P.d_without_parens('p')} as bare from grams where p like '%(%' and p not like '%|%') r where false",
         "src_cache": "select doc_id, sha256(text) as sha from docs d where not exists (select 1 from docs e where e.lang = 'en' and e.text = d.text)",
         "src_upload": "select page_id, regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/\\\\]+?)(?:\\.[^./\\\\]*)?$', 1) as stem from pages",
