@@ -330,4 +330,4 @@ def paired(spark: SparkSession, sf: str) -> DataFrame:
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Documents to buckets, repetition filter, clean text, lexicon keyphrases, the best of each slide."""
     s = slides(spark, sf).drop("lang")
-    return K.keyphrases(B.bucketize(s, FILTER_NB), lexicon(spark, sf))
+    return K.keyphrases(B.bucketize(s), lexicon(spark, sf))
