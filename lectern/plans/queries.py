@@ -167,15 +167,14 @@ def kept_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-    raw = F.col("raw_markdown")
     t = table
     # pages
     q["pg_split"] = lambda s, d: PG.split_pages(t(s, d, "documents").where("text is not null").groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), PG.SEPARATOR).alias("markdown")).withColumnRenamed("source", "doc_id"))
     q["src_pdf_dl"] = lambda s, d: PG.split_pages(t(s, d, "documents").where("text is not null").select(F.col("doc_id"), F.concat("text", F.lit(PG.SEPARATOR), "lang").alias("markdown"), (F.col("doc_id") % 4).alias("n_pages")))
     q["src_ocr"] = lambda s, d: t(s, d, "documents").select("doc_id", PG.ocr_prefixed(F.col("text")).alias("ocr"))
     q["pg_collapse_blank"] = lambda s, d: t(s, d, "documents").select("doc_id", PG.collapse_blank(F.replace("text", F.lit(". "), F.lit(".\n\n\n\n"))).alias("t"))
-    q["pg_is_empty"] = lambda s, d: slides(s, d).select("doc_id", "page_number", F.explode(F.split(raw, "\n", -1)).alias("l")).groupBy("doc_id", "page_number").agg(F.count_if(PG.is_empty(F.col("l"))).alias("n_empty"), F.count(F.lit(1)).alias("n"))
-    q["pg_word_set"] = lambda s, d: slides(s, d).select("doc_id", "page_number", F.size(PG.word_set(raw)).alias("n"), F.array_join(F.array_sort(PG.word_set(raw)), " ").alias("words"))
+    q["pg_is_empty"] = lambda s, d: slides(s, d).select("doc_id", "page_number", F.explode(F.split("raw_markdown", "\n", -1)).alias("l")).groupBy("doc_id", "page_number").agg(F.count_if(PG.is_empty(F.col("l"))).alias("n_empty"), F.count(F.lit(1)).alias("n"))
+    q["pg_word_set"] = lambda s, d: slides(s, d).select("doc_id", "page_number", F.size(PG.word_set(F.col("raw_markdown"))).alias("n"), F.array_join(F.array_sort(PG.word_set(F.col("raw_markdown"))), " ").alias("words"))
     q["pg_near_dup"] = lambda s, d: PG.drop_near_duplicates(deck_pages(s, d)).select("doc_id", "page_number")
     q["pg_emit"] = lambda s, d: PG.emit(slides(s, d))
     q["pg_counts"] = lambda s, d: PG.counts(deck_pages(s, d), PG.drop_near_duplicates(deck_pages(s, d)))
