@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.plans.stage import Workspace
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed values: (rule, verdict).
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -41,7 +43,7 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:  # noqa: ANN001
     return F.lit(None).cast("string") if out is None else out
 
 
-def templates(nodes: DataFrame, depth: int, least: int, share: float) -> DataFrame:
+def templates(space: Workspace, nodes: DataFrame, depth: int, least: int, share: float) -> DataFrame:
     """nodes (host, segs, n, ...) with `template`: one level of the tree at a time, over counts and never over pages."""
     t = nodes.withColumn("template", F.lit(""))
     for level in range(depth):
@@ -51,7 +53,8 @@ def templates(nodes: DataFrame, depth: int, least: int, share: float) -> DataFra
         literal = kids.where(F.col("kid") >= least).join(whole, ["host", "template"]).where(F.col("kid") >= F.col("whole") * share).select("host", "template", "seg", F.lit(True).alias("literal"))
         t = t.join(literal, ["host", "template", "seg"], "left")
         step = F.when(F.col("seg").isNull(), F.lit("")).when(F.col("literal"), F.concat(F.lit("/"), "seg")).otherwise(F.lit("/*"))
-        t = t.withColumn("template", F.concat("template", step)).drop("seg", "literal")
+        # a table a level: else each level's plan holds all plans below it several times over
+        t = space.table(t.withColumn("template", F.concat("template", step)).drop("seg", "literal"), "level")
     return t.withColumn("template", F.concat("template", F.when(F.size("segs") > depth, F.lit("/**")).otherwise(F.lit(""))))
 
 
@@ -62,8 +65,9 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, depth: int = 3, leas
     bad = labels.groupBy(F.col("doc_id").alias("page_id")).agg(F.max(F.when((F.col("toxic") == 1) | (F.col("quality") == 0), 1).otherwise(0)).alias("bad"))
     marked = at.join(bad, "page_id", "left")
     nodes = marked.groupBy("host", "segs").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("seen"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    tree = templates(nodes, depth, least, share)
-    branch = tree.groupBy("host", "template").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad"))
+    space = Workspace(pages.sparkSession)
+    tree = templates(space, space.table(nodes, "nodes"), depth, least, share)
+    branch = space.table(tree.groupBy("host", "template").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad")), "branches")
     hosts = branch.groupBy("host").agg(F.sum("seen").alias("host_seen"), F.sum("bad").alias("host_bad"))
     base = hosts.agg((F.coalesce(F.sum("host_bad"), F.lit(0)) / F.greatest(F.coalesce(F.sum("host_seen"), F.lit(0)), F.lit(1))).alias("base"))
     branch = branch.join(hosts, "host")
@@ -71,11 +75,12 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, depth: int = 3, leas
     error = F.sqrt(rate * (1 - rate) / F.greatest(F.col("seen"), F.lit(1)))
     alike = (F.col("seen") == 0) | (F.abs(F.col("bad") / F.greatest(F.col("seen"), F.lit(1)) - rate) <= z * error)
     branch = branch.withColumn("branch", F.when(alike, F.lit("*pooled*")).otherwise(F.col("template")))
+    branch = space.table(branch, "merged")
     pooled = branch.groupBy("host", "branch").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad"))
     pure = pooled.withColumn("purity", (F.col("bad") + prior * base.scalar()) / (F.col("seen") + prior)).select("host", "branch", "purity")
     verdicts = branch.select("host", "template", "branch").join(pure, ["host", "branch"])
     found = tree.select("host", "segs", "template").join(verdicts, ["host", "template"]).select("host", "segs", "template", "purity")
-    out = at.join(found, ["host", "segs"], "left")
+    out = at.join(space.finish(found, "found"), ["host", "segs"], "left")
     rule = rule_of(F.col("host"), F.col("path"), rules)
     by_rule = F.create_map(*[F.lit(x) for r in rules for x in r])[F.col("rule")] if rules else F.lit(None).cast("string")
     own = F.when(F.col("purity") >= reject, F.lit("block")).otherwise(F.lit("allow"))
