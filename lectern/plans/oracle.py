@@ -236,7 +236,7 @@ def selects() -> dict[str, str]:
         "tr_evidence": "select vec_id from cosines where c >= case when vec_id % 2 = 0 then 0.15 else 0.3 end",
         "tr_validate_all": f"select {p}, ord, subject, relation, object, evidence, confidence from passedt",
         "tr_pair_dedup": f"select {p}, subject, object, confidence, ord, place from ({paired})",
-        "tr_synonym": f"select p, x.way as way, x.o as o, {P.d_synonyms('p', 'x.o')} as same from gpairs",
+        "tr_synonym": f"select p, cast(x.way as bigint) as way, x.o as o, {P.d_synonyms('p', 'x.o')} as same from gpairs",
         "tr_sem_dedup": f"select {p}, x.subject as subject, x.object as object, x.confidence as confidence from ({sem('paired')})",
         "tr_rel_dist": "select relation, count(*) as n from passedt group by relation",
         "tr_stats": f"select doc_id, n_slides, n_slides - coalesce(n_busy, 0) as n_skipped, coalesce(n_raw, 0) as n_raw, coalesce(n_passed, 0) as n_passed, coalesce(n_kept, 0) as n_kept, case when coalesce(n_raw, 0) > 0 then round_even(coalesce(n_passed, 0) / n_raw, 4) else 0.0 end as pass_rate from (select doc_id, count(*) as n_slides from content group by doc_id) left join (select doc_id, count(*) as n_raw, count(distinct slide_id) as n_busy from rawt group by doc_id) using (doc_id) left join (select doc_id, count(*) as n_passed from passedt group by doc_id) using (doc_id) left join (select doc_id, count(*) as n_kept from ({dp.format(src='passedt')}) group by doc_id) using (doc_id)",
