@@ -30,8 +30,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the byte strings that occur twice; documents of which no word is left go."""
-    cut = suffixes.deduplicate(docs)
+    """Texts without the strings of 400 bytes or of 51 words that occur twice; documents of which no word is left go.
+
+    51 words may have under 400 bytes, and 400 bytes under 51 words (long words, scripts without blanks).
+    """
+    cut = suffixes.deduplicate(docs, words=51)
     cut = cut.withColumn("text", F.col("kept_text")).where(F.col("text").rlike(mixing.WORD))
     return cut.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 

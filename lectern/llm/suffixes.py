@@ -19,16 +19,21 @@ folded where they're identical; suffix arrays then decide what is left, in bound
 Texts are UTF-8 bytes; null is empty. Matches don't cross documents, overlaps count, and strings are judged on the
 input. Texts shorter than the window keep all bytes. Two rows alike in doc_id and text repeat each other's strings.
 A null doc_id is a value like others. Other columns of the documents pass through `deduplicate` unread.
+
+A window in words is the same work over texts in which a word is a code of 8 bytes, of which only strings that start
+with a word count. It catches what a window in bytes can't: passages of short words.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +42,8 @@ from lectern.llm.grouping import suffix_array
 from lectern.plans.stage import Workspace
 
 WINDOW, GRAM, RANGE, HOT = 400, 48, 32, 4096
+CODE = 8
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -269,25 +276,58 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, width: int = RANGE
     return space.finish(found, "intervals")
 
 
-def deduplicate(docs: DataFrame, window: int = WINDOW, width: int = RANGE, hot: int = HOT, keep_text: bool = True) -> DataFrame:
+def word_codes(text: str | None) -> str:
+    """8 ASCII characters a word: 56 bits of its hash."""
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, (text or "").encode().split()), np.uint64)
+    return ((h[:, None] >> np.arange(0, 7 * CODE, 7, dtype=np.uint64)) & np.uint64(127)).astype(np.uint8).tobytes().decode("ascii")
+
+
+def repeated_word_intervals(docs: DataFrame, words: int, width: int = RANGE, hot: int = HOT) -> DataFrame:
+    """(kd, kh, word_intervals: array of (start, stop) words) of keyed documents that hold a repeated string of `words` words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in cut(batch, "text", 1 << 20):
+                codes = [word_codes(t) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("kd"), part.column("kh"), pa.array(codes, pa.string())], ["kd", "kh", "text"])
+
+    coded = docs.select("kd", "kh", "text").mapInArrow(run, "kd bigint, kh bigint, text string")
+    found = repeated_intervals(coded, words * CODE, width, hot)
+    # of the strings that start from start to stop - window, those that start with a word
+    whole = F.expr(f"transform(intervals, i -> struct((i.start + {CODE - 1}) div {CODE} as start, (i.stop - {words * CODE}) div {CODE} + {words} as stop))")
+    found = found.select("kd", "kh", F.filter(whole, lambda i: i["start"] + words <= i["stop"]).alias("word_intervals"))
+    return found.where(F.size("word_intervals") > 0)
+
+
+def deduplicate(docs: DataFrame, window: int = WINDOW, width: int = RANGE, hot: int = HOT, keep_text: bool = True, words: int | None = None) -> DataFrame:
     """docs (without text, and with kept_text if keep_text) with n_bytes, n_removed, n_spans and kept_sha256.
 
     kept_text drops bytes of characters that the cut splits. Columns of those names in docs are replaced.
+    With `words`, strings of so many words (without regard to the blanks between them) that repeat go as well, with the
+    blanks behind them.
     """
     extra = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * keep_text]
     docs = keyed(docs.drop(*extra))
     found = repeated_intervals(docs, window, width, hot)
+    if words is None:
+        found = found.withColumn("word_intervals", F.lit(None).cast("array<struct<start:bigint,stop:bigint>>"))
+    else:
+        found = found.join(repeated_word_intervals(docs, words, width, hot), ["kd", "kh"], "full")
     others = [c for c in docs.columns if c not in ("kd", "kh", "text")]
-    joined = docs.join(found, ["kd", "kh"], "left").select(*others, "text", "intervals")
+    joined = docs.join(found, ["kd", "kh"], "left").select(*others, "text", "intervals", "word_intervals")
     kinds = {f.name: f.dataType.simpleString() for f in joined.schema.fields}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in others), "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", *["kept_text string"] * keep_text])
 
-    def one(text: str | None, intervals: list[dict] | None) -> tuple[int, int, int, bytes]:
+    def one(text: str | None, intervals: list[dict] | None, word_intervals: list[dict] | None) -> tuple[int, int, int, bytes]:
         data = (text or "").encode()
-        if not intervals:
+        if not intervals and not word_intervals:
             return len(data), 0, 0, data
+        found = [(i["start"], i["stop"]) for i in intervals or ()]
+        if word_intervals:
+            starts = [*(m.start() for m in WORD.finditer(data)), len(data)]
+            found += [(starts[i["start"]], starts[i["stop"]]) for i in word_intervals]
         spans: list[list[int]] = []
-        for a, b in sorted((i["start"], i["stop"]) for i in intervals):
+        for a, b in sorted(found):
             if spans and a <= spans[-1][1]:
                 spans[-1][1] = max(spans[-1][1], b)
             else:
@@ -303,7 +343,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, width: int = RANGE, hot:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in cut(batch, "text", 1 << 20):
-                rows = [one(t, i) for t, i in zip(part.column("text").to_pylist(), part.column("intervals").to_pylist(), strict=True)]
+                rows = [one(*r) for r in zip(*(part.column(c).to_pylist() for c in ("text", "intervals", "word_intervals")), strict=True)]
                 cols = [part.column(i) for i in range(len(others))] + [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)]
                 cols.append(pa.array([hashlib.sha256(r[3]).hexdigest() for r in rows], pa.string()))
                 if keep_text:
