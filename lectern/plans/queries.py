@@ -93,8 +93,18 @@ def raw_triples(spark: SparkSession, sf: str) -> DataFrame:
     return TR.parsed(responses(spark, sf))
 
 
+def similarities(raw: DataFrame, content: DataFrame) -> DataFrame:
+    """KEY, evidence, similarity: cosines of the raw triples' evidences and the texts of their slides."""
+    said = TR.normalized(raw).select(*B.KEY, "evidence").where("evidence <> ''").distinct()
+    said = said.join(content.select(*B.KEY, "clean_text"), list(B.KEY))
+    e = backends.embed(said, "evidence").withColumnRenamed("v", "ev")
+    t = backends.embed(said, "clean_text").withColumnRenamed("v", "tv")
+    return said.join(e, "evidence").join(t, "clean_text").select(*B.KEY, "evidence", cosine(F.col("ev"), F.col("tv")).alias("similarity"))
+
+
 def passed(spark: SparkSession, sf: str) -> DataFrame:
-    return TR.validate(raw_triples(spark, sf), phrases(spark, sf))
+    raw = raw_triples(spark, sf)
+    return TR.validate(raw, phrases(spark, sf), similarities(raw, content(spark, sf)))
 
 
 def wide(df: DataFrame) -> DataFrame:
