@@ -4,7 +4,8 @@ A quoted line starts with one or more `>` (blanks between them allowed); their n
 lines of one level are a passage. Passages and messages are normalised (ASCII lower case, runs of white space as one
 space, trimmed) and hashed. What a message says itself is its lines outside quotes; originals are whole own bodies and
 their single lines. A level-1 passage links its message to the latest earlier message of the same conversation whose
-own body, or else one of whose own lines, hashes alike; deeper passages link the messages that they quote on the way.
+own body, or else one of whose own lines, hashes alike, or whose own lines hold those of a passage of several lines, one
+after the other (blank lines apart); deeper passages link the messages that they quote on the way.
 Messages are given in reply order with their parents and their depth below the first message, without quotes.
 
 Parent: the original of a level-1 passage (the latest if there are several); null where nothing is linked, which
@@ -38,8 +39,8 @@ def own_lines(lines: Column) -> Column:
 
 
 def passages(lines: Column) -> Column:
-    """Array of (level, text): consecutive quoted lines of one level joined, in order. A fold over one message's lines."""
-    empty = F.array().cast("array<struct<level:int,text:string,open:boolean>>")
+    """Array of (level, text, lines): consecutive quoted lines of one level, joined and apart, in order. A fold over one message's lines."""
+    empty = F.array().cast("array<struct<level:int,text:string,lines:array<string>,open:boolean>>")
 
     def step(acc: Column, line: Column) -> Column:
         marks = F.regexp_extract(line, MARKS, 1)
@@ -47,15 +48,40 @@ def passages(lines: Column) -> Column:
         body = F.regexp_replace(line, MARKS, "")
         last = F.element_at(acc, -1)
         same = (F.size(acc) > 0) & last["open"] & (last["level"] == level)
-        joined = F.struct(level.alias("level"), F.concat(last["text"], F.lit(" "), body).alias("text"), F.lit(True).alias("open"))
-        fresh = F.struct(level.alias("level"), body.alias("text"), F.lit(True).alias("open"))
-        shut = F.struct(last["level"].alias("level"), last["text"].alias("text"), F.lit(False).alias("open"))
+        joined = F.struct(level.alias("level"), F.concat(last["text"], F.lit(" "), body).alias("text"), F.concat(last["lines"], F.array(body)).alias("lines"), F.lit(True).alias("open"))
+        fresh = F.struct(level.alias("level"), body.alias("text"), F.array(body).alias("lines"), F.lit(True).alias("open"))
+        shut = F.struct(last["level"].alias("level"), last["text"].alias("text"), last["lines"].alias("lines"), F.lit(False).alias("open"))
         head = F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
         return F.when(level == 0, F.when(F.size(acc) > 0, F.concat(head, F.array(shut))).otherwise(acc)).when(same, F.concat(head, F.array(joined))).otherwise(F.concat(acc, F.array(fresh)))
 
     return F.aggregate(lines, empty, step)
 
 
+def said_lines(lines: Column) -> Column:
+    """The lines' normal forms, without blank ones."""
+    return F.filter(F.transform(lines, normal), lambda x: x != "")
+
+
+def partly_quoted(quotes: DataFrame, said: DataFrame) -> DataFrame:
+    """conv_id, at, pos, level, turn, part: earlier messages whose own lines hold all lines of a passage, one after the other.
+
+    Passages meet messages by their first two lines; the rows of the lines then decide, so no row holds more than a line.
+    """
+    of = ["conv_id", "at", "pos", "level", "lid"]
+    many = quotes.where(F.size("lines") > 1).withColumn("lid", digest(F.array_join("lines", "\n"))).select(*of, "lines").distinct()
+    two = lambda a, b: digest(F.concat(a, F.lit("\n"), b))
+    own = said.join(many.select("conv_id").distinct(), "conv_id", "left_semi").withColumn("own", said_lines(F.col("own"))).where(F.size("own") > 1)
+    own = own.select("conv_id", "turn", digest(F.array_join("own", "\n")).alias("mid"), "own").dropDuplicates(["conv_id", "turn", "mid"])
+    rows = own.select("conv_id", "turn", "mid", F.posexplode(F.transform("own", lambda x, i: F.struct(digest(x).alias("line"), two(x, F.get("own", i + 1)).alias("both")))).alias("i", "x"))
+    rows = materialize(rows.select("conv_id", "turn", "mid", "i", "x.line", "x.both"), "own-lines")
+    begin = many.select(*of, F.size("lines").alias("n"), two(F.get("lines", F.lit(0)), F.get("lines", F.lit(1))).alias("both"))
+    begin = begin.join(rows.select("conv_id", "turn", "mid", F.col("i").alias("start"), "both"), ["conv_id", "both"]).where(F.col("turn") < F.col("at"))
+    each = begin.join(many.select(*of, F.posexplode(F.transform("lines", digest)).alias("k", "line")), of).withColumn("i", F.col("start") + F.col("k"))
+    same = each.join(rows.select("conv_id", "turn", "mid", "i", "line"), ["conv_id", "turn", "mid", "i", "line"])
+    same = same.groupBy(*of, "turn", "mid", "start").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n")).where("c = n")
+    return same.select("conv_id", "at", "pos", "level", "turn", F.lit(1).alias("part")).distinct()
+
+
 def link(messages: DataFrame, max_rounds: int = 40) -> DataFrame:
     """conv_id, turn, role, parent_turn, depth, n_quoted, max_level, n_linked, text: text without quotes.
 
@@ -72,9 +98,11 @@ def link(messages: DataFrame, max_rounds: int = 40) -> DataFrame:
     parts = said.where(F.size("own") > 1).select("conv_id", "turn", F.lit(1).alias("part"), F.explode("own").alias("body")).withColumn("body", normal(F.col("body")))
     origins = whole.unionByName(parts).where("body <> ''").groupBy("conv_id", digest(F.col("body")).alias("h"), "turn").agg(F.min("part").alias("part"))
     quotes = m.where("passages is not null and conv_id is not null and turn is not null").select("conv_id", F.col("turn").alias("at"), F.posexplode("passages").alias("pos", "p"))
-    quotes = quotes.select("conv_id", "at", "pos", F.col("p.level").alias("level"), normal(F.col("p.text")).alias("body")).where("body <> ''").withColumn("h", digest(F.col("body"))).drop("body").distinct()
+    quotes = quotes.select("conv_id", "at", "pos", F.col("p.level").alias("level"), normal(F.col("p.text")).alias("body"), said_lines(F.col("p.lines")).alias("lines")).where("body <> ''").withColumn("h", digest(F.col("body"))).drop("body")
+    quotes = materialize(quotes, "passages")
     best = F.max_by("turn", F.struct(-F.col("part"), "turn"))
-    found = quotes.join(origins, ["conv_id", "h"]).where(F.col("turn") < F.col("at")).groupBy("conv_id", "at", "pos", "level").agg(best.alias("turn"))
+    found = quotes.drop("lines").distinct().join(origins, ["conv_id", "h"]).where(F.col("turn") < F.col("at"))
+    found = found.select("conv_id", "at", "pos", "level", "turn", "part").unionByName(partly_quoted(quotes, said)).groupBy("conv_id", "at", "pos", "level").agg(best.alias("turn"))
     found = materialize(found, "quotes")
     parents = found.groupBy("conv_id", "at").agg(F.max(F.when(F.col("level") == 1, F.col("turn"))).alias("parent_turn"), F.count(F.lit(1)).alias("n_linked"))
     # depth: hops to the first message that links nowhere
