@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from lectern.functions.text import WS, d_any_of, d_n_words, d_strip, d_words, n_words, q, strip, words
 
 # Word lists and patterns.
-GENERIC = tuple(
-    """the this that these those some any each other another same such both all one two three four first second third use
-    used using make made get given certain following above below per based etc e.g i.e note example part case way ways
-    form time times place thing things item items value values number numbers order fact result results amount level
-    type types kind kinds""".split()
-) + ("used to",)
+GENERIC = (
+    "the", "this", "that", "these", "those", "some", "any", "each", "other", "another", "same", "such", "both", "all",
+    "one", "two", "three", "four", "first", "second", "third", "use", "used", "using", "make", "made", "get", "given",
+    "certain", "following", "above", "below", "per", "based", "etc", "e.g", "i.e", "note", "example", "part", "case",
+    "way", "ways", "form", "time", "times", "place", "thing", "things", "item", "items", "value", "values", "number",
+    "numbers", "order", "fact", "result", "results", "amount", "level", "type", "types", "kind", "kinds", "used to",
+)
 LABEL_STARTERS = ("to", "any", "how", "what", "when", "where", "why", "see", "let", "note", "given", "recall", "consider")
 POINTERS = ("this", "that", "these", "those", "its", "their")
 TOC_HEADINGS = (

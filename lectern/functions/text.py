@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +14,11 @@ LETTER = r"[\p{L}\p{N}_]"
 BEFORE, AFTER = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
 
 
+def ascii_upper(c: Column) -> Column:
+    """A-Z for a-z alone: engines differ on letters whose upper case is longer."""
+    return F.translate(c, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WS))
 
@@ -39,10 +42,6 @@ def any_of(c: Column, patterns: tuple[str, ...]) -> Column:
     return c.rlike("|".join(f"(?i:{p[4:]})" if p.startswith("(?i)") else f"(?:{p})" for p in patterns))
 
 
-def first_char_set(names: tuple[str, ...]) -> Callable[[Column], Column]:
-    return lambda c: c.isin(*names)
-
-
 # The same for DuckDB, as strings.
 
 

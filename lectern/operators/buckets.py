@@ -147,19 +147,17 @@ def cross_slide_noise(content: DataFrame, settings: Settings = Settings()) -> Da
 
 
 def cross_slide_filter(content: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """content without repeated blocks: an anti-join over exploded blocks, gathered again by slide in order."""
+    """content without repeated blocks.
+
+    A document's repeated blocks are one bounded list: each is on more than the share of its slides, so there are
+    fewer than a slide's blocks divided by the share. The list meets the slides, and their arrays are filtered in place.
+    """
     backend = settings.profile == "backend"
     names = (*BUCKETS, "code_lines") if backend else BUCKETS
-    noise = cross_slide_noise(content, settings)
-    parts = [content.select(*KEY, F.lit(b).alias("bucket"), F.posexplode(b).alias("pos", "block")) for b in names]
-    flat = parts[0]
-    for p in parts[1:]:
-        flat = flat.unionByName(p)
-    left = flat.join(noise, ["doc_id", "block"], "left_anti")
-    gathered = left.groupBy(*KEY).agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("bucket") == b, F.struct("pos", "block")))), lambda x: x["block"]).alias(b) for b in names])
-    out = content.drop(*names).join(gathered, list(KEY), "left")
-    none = F.array().cast("array<string>")
-    out = out.withColumns({b: F.coalesce(F.col(b), none) for b in names})
+    noise = cross_slide_noise(content, settings).groupBy("doc_id").agg(F.collect_list("block").alias("__noise"))
+    out = content.join(noise, "doc_id", "left")
+    kept = lambda b: F.when(F.col("__noise").isNull(), F.col(b)).otherwise(F.filter(b, lambda x: ~F.array_contains("__noise", x)))
+    out = out.withColumns({b: kept(b) for b in names}).select(*content.columns)
     return out.withColumn("heading_phrases", F.col("headings")) if backend else out
 
 

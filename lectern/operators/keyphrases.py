@@ -6,6 +6,8 @@ candidates (KEY, phrase, score, label, ord), embeddings of distinct strings.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,7 +18,11 @@ from lectern.functions.text import n_words, strip, words
 from lectern.functions.vectors import cosine
 from lectern.operators.buckets import KEY
 from lectern.plans.fold import greedy_keep
+from lectern.schema import BUCKETS
 from lectern.settings import Settings
+from lectern.sources.backends import embed, hashed_bag
+
+Encoder = Callable[[list[str]], list[list[float]]]
 
 BREAK = r"<br\s*/?>"
 
@@ -173,19 +179,55 @@ def label_distribution(candidates: DataFrame) -> DataFrame:
 
 
 def phrase_stats(phrases: DataFrame, slides: DataFrame) -> DataFrame:
-    """doc_id, n_phrases, n_slides, mean a slide, top three phrases."""
+    """doc_id, n_phrases, n_slides, mean a slide."""
     a = phrases.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_phrases"))
     b = slides.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_slides"))
     return b.join(a, "doc_id", "left").select("doc_id", F.coalesce("n_phrases", F.lit(0)).alias("n_phrases"), "n_slides", F.bround(F.coalesce("n_phrases", F.lit(0)) / F.col("n_slides"), 4).alias("mean_phrases"))
 
 
-def keyphrases(content: DataFrame, lexicon: DataFrame, settings: Settings = Settings(), vectors: DataFrame | None = None) -> DataFrame:
-    """Step 3 whole with the lexicon recognizer: gate, text, recognition, best scores, boost, dedup, limit, sentences."""
+def top_phrases(phrases: DataFrame, n: int = 3) -> DataFrame:
+    """KEY, n_phrases, top: the first n ranked phrases of each slide that has any."""
+    best = F.slice(F.array_sort(F.collect_list(F.struct("rank", "phrase"))), F.lit(1), F.lit(n))
+    return phrases.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_phrases"), F.transform(best, lambda p: p["phrase"]).alias("top"))
+
+
+def place(phrases: DataFrame, slides: DataFrame, settings: Settings | None = None) -> DataFrame:
+    """KEY, phrase, score, source_type, appears_in, ord; scores in headings boosted where settings are given."""
+    out = phrases.select(*KEY, "phrase", "score", "ord").join(slides.select(*KEY, *BUCKETS, "clean_text"), list(KEY))
+    out = out.withColumn("source_type", source_type(F.col("phrase"))).withColumn("appears_in", sentence_of(F.col("phrase"), F.col("clean_text")))
+    score = F.col("score") if settings is None else boosted(F.col("score"), F.col("source_type"), settings)
+    return out.select(*KEY, "phrase", score.alias("score"), "source_type", "appears_in", "ord")
+
+
+def keyphrases(content: DataFrame, lexicon: DataFrame, settings: Settings = Settings(), encode: Encoder | None = None, offered: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Step 3 whole with the lexicon recognizer: gate, text, recognition, best scores, boost, sentences, dedup, fallback, limit.
+
+    encode: an embedder, without which near-equal phrases stay. offered: a model for poor slides, from slides with
+    their text to (KEY, phrase, ord); its phrases replace the slide's, with the fixed score and no boost.
+    """
     gate = content.where(pedagogical()).withColumn("text", extraction_text(settings.profile))
-    best = best_scores(recognize(gate, lexicon, settings=settings))
-    placed = best.join(gate.drop("text"), list(KEY)).withColumn("source_type", source_type(F.col("phrase")))
-    placed = placed.withColumn("score", boosted(F.col("score"), F.col("source_type"), settings)).withColumn("appears_in", sentence_of(F.col("phrase"), F.col("clean_text")))
-    placed = placed.select(*KEY, "phrase", "score", "source_type", "appears_in", "ord")
-    if vectors is not None:
-        placed = dedup_phrases(placed, vectors, settings)
+    placed = place(best_scores(recognize(gate, lexicon, settings=settings)), gate, settings)
+    if encode is not None:
+        placed = dedup_phrases(placed, embed(placed, "phrase", encode).select("phrase", "v"), settings)
+    if offered is not None:
+        poor = needs_fallback(placed, gate, settings=settings)
+        more = offered(poor).select(*KEY, strip(F.lower(F.col("phrase"))).alias("phrase"), F.lit(settings.fallback_score).alias("score"), "ord")
+        more = place(more.where(P.valid(F.col("phrase"))), poor)
+        placed = placed.join(poor.select(*KEY), list(KEY), "left_anti").unionByName(more)
     return limit(placed, settings)
+
+
+def ranked_chunks(content: DataFrame, settings: Settings = Settings.of("backend"), encode: Encoder = hashed_bag) -> DataFrame:
+    """Step 3 whole by the older order: chunks scored against their slide's text, the best of them, linguistic and chunk
+    tests, source types, boost, dedup. Chunks that the embedder knows nothing of score nothing and go."""
+    slides = content.withColumn("text", extraction_text("backend")).where("text <> ''")
+    offered = noun_chunks(slides)
+    both = offered.join(slides.select(*KEY, "text"), list(KEY))
+    e = embed(both, "chunk", encode).withColumnRenamed("v", "cv")
+    t = embed(both, "text", encode).withColumnRenamed("v", "tv")
+    scored = both.join(e, "chunk").join(t, "text").select(*KEY, F.col("chunk").alias("phrase"), cosine(F.col("cv"), F.col("tv")).alias("score"), "ord")
+    good = in_chunks(top_candidates(scored.where("score is not null"), settings).where(linguistic(F.col("phrase"))), offered)
+    placed = place(good, slides, settings)
+    placed = dedup_phrases(placed, embed(placed, "phrase", encode), settings)
+    rank = Window.partitionBy(*KEY).orderBy(F.col("score").desc(), "ord")
+    return placed.withColumn("rank", F.row_number().over(rank))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import strip
-from lectern.plans.fold import greedy_keep
+from lectern.plans.fold import greedy_runs
 from lectern.settings import Settings
 
 SEPARATOR = "-" * 48
@@ -45,17 +45,16 @@ def ocr_prefixed(c: Column) -> Column:
 def drop_near_duplicates(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Pages of each doc_id in order, without those too like one of the last accepted ones.
 
-    A fold over a deck's ordered pages; only word sets and numbers are gathered, the markdown is joined back.
+    Only numbers and word sets (as 64-bit hashes) are dealt by deck; the markdown is joined back. A null raw_markdown
+    has no words.
     """
-    w = word_set(F.col("raw_markdown"))
-    decks = pages.select("doc_id", "page_number", w.alias("w")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_number", "w"))).alias("items"))
+    least, jaccard = settings.near_dup_min_words, settings.near_dup_jaccard
 
-    def clash(k: Column, x: Column) -> Column:
-        both, either = F.size(F.array_intersect(k["w"], x["w"])), F.size(F.array_union(k["w"], x["w"]))
-        return (F.size(x["w"]) >= settings.near_dup_min_words) & (F.size(k["w"]) > 0) & (both / F.greatest(either, F.lit(1)) >= settings.near_dup_jaccard)
+    def clash(kept: set, page: set) -> bool:
+        return len(page) >= least and len(kept) > 0 and len(kept & page) / max(len(kept | page), 1) >= jaccard
 
-    kept = greedy_keep(F.col("items"), "struct<page_number:int,w:array<string>>", clash, settings.near_dup_window)
-    numbers = decks.select("doc_id", F.explode(F.transform(kept, lambda k: k["page_number"])).alias("page_number"))
+    hashed = F.transform(word_set(F.col("raw_markdown")), lambda w: F.xxhash64(w))
+    numbers = greedy_runs(pages.select("doc_id", "page_number", hashed.alias("w")), "doc_id", "page_number", "w", settings.near_dup_window, clash)
     return pages.join(numbers, ["doc_id", "page_number"], "left_semi")
 
 

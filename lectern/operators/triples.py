@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.functions import phrases as P
 from lectern.functions.text import strip
+from lectern.functions.vectors import cosine
 from lectern.operators.buckets import KEY
 from lectern.plans.fold import greedy_keep
+from lectern.plans.stage import Workspace
 from lectern.schema import RAW_TRIPLE, RELATIONS
 from lectern.settings import Settings
+from lectern.sources.backends import embed, hashed_bag
 
 RAW = f"array<{RAW_TRIPLE.simpleString()}>"
 
@@ -94,8 +100,19 @@ def confident(triples: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return triples.where(F.col("confidence") >= settings.confidence)
 
 
+def similarities(raw: DataFrame, content: DataFrame, encode: Callable[[list[str]], list[list[float]]] = hashed_bag) -> DataFrame:
+    """KEY, evidence, similarity: cosines of the raw triples' evidences and the texts of their slides. Each distinct
+    string is embedded once."""
+    said = normalized(raw).select(*KEY, "evidence").where("evidence <> ''").distinct()
+    said = said.join(content.select(*KEY, "clean_text"), list(KEY))
+    e = embed(said, "evidence", encode).withColumnRenamed("v", "ev")
+    t = embed(said, "clean_text", encode).withColumnRenamed("v", "tv")
+    return said.join(e, "evidence").join(t, "clean_text").select(*KEY, "evidence", cosine(F.col("ev"), F.col("tv")).alias("similarity"))
+
+
 def validate(raw: DataFrame, phrases: DataFrame, similarities: DataFrame | None = None, settings: Settings = Settings()) -> DataFrame:
-    """The layers in order of cost: confidence and anchors before similarities (KEY, evidence, similarity), if given."""
+    """The layers in order of cost: confidence and anchors before similarities (KEY, evidence, similarity). Without
+    similarities, what the other layers leave, of which layer 2 then only wants that there is evidence."""
     out = resolved(anchored(confident(normalized(raw), settings), phrases), phrases)
     if similarities is None:
         return out.where("evidence <> ''")
@@ -136,6 +153,22 @@ def triple_stats(content: DataFrame, raw: DataFrame, passed: DataFrame, kept: Da
     return out.select("doc_id", "n_slides", (F.col("n_slides") - F.col("n_busy")).alias("n_skipped"), "n_raw", "n_passed", "n_kept", rate.alias("pass_rate"))
 
 
+class Extracted(NamedTuple):
+    raw: DataFrame
+    passed: DataFrame
+    kept: DataFrame
+
+
+def extract(content: DataFrame, phrases: DataFrame, complete: Callable[[DataFrame], DataFrame], template: str, space: Workspace, settings: Settings = Settings(), encode: Callable[[list[str]], list[list[float]]] = hashed_bag) -> Extracted:
+    """Step 4 whole: prompts, a model's answers, parsing, the three layers, and both deduplications.
+
+    complete: the model, from (KEY, prompt) to (KEY, response). What several steps read is written to `space` once.
+    """
+    raw = space.table(parsed(complete(prompts(phrases, content, template))), "raw")
+    passed = space.table(validate(raw, phrases, similarities(raw, content, encode), settings), "passed")
+    return Extracted(raw, passed, dedup_synonyms(dedup_pairs(passed)))
+
+
 def edges(triples: DataFrame) -> DataFrame:
     """The edge table; equal edges of different slides stay, each with its evidence."""
     return triples.select("subject", "relation", "object", "evidence", "confidence", "slide_id", "doc_id", F.lit("extraction").alias("source"))

@@ -2,20 +2,49 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import deque
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.plans.stage import small_batches
 
-def greedy_keep(items: Column, kind: str, clash: Callable[[Column, Column], Column], window: int | None = None) -> Column:
-    """Of an ordered array of structs (of type `kind`), those that clash with none of the kept ones before.
 
-    window: look at the last so many kept ones only. Arrays are those of one slide or one deck.
-    """
+def greedy_keep(items: Column, kind: str, clash: Callable[[Column, Column], Column]) -> Column:
+    """Of an ordered array of structs (of type `kind`), those that clash with none of the kept ones before. For the
+    phrases or triples of one slide: every kept one may matter, so all are carried."""
 
     def step(kept: Column, x: Column) -> Column:
-        seen = kept if window is None else F.slice(kept, F.greatest(F.size(kept) - (window - 1), F.lit(1)), F.lit(window))
-        return F.when(F.exists(seen, lambda k: clash(k, x)), kept).otherwise(F.concat(kept, F.array(x)))
+        return F.when(F.exists(kept, lambda k: clash(k, x)), kept).otherwise(F.concat(kept, F.array(x)))
 
     return F.aggregate(items, F.array().cast(f"array<{kind}>"), step)
+
+
+def greedy_runs(rows: DataFrame, key: str, order: str, words: str, window: int, clash: Callable[[set, set], bool]) -> DataFrame:
+    """(key, order) of the rows accepted, per key in order, if they clash with none of the last `window` accepted ones.
+
+    The rows of a key come sorted and stream past: a task holds `window` sets, whatever the length of a key's run.
+    words: an array of whole numbers, a row's set.
+    """
+    small_batches(rows.sparkSession)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: object = None
+        last: deque[set] = deque(maxlen=window)
+        for batch in batches:
+            kept = []
+            for i, (k, w) in enumerate(zip(batch.column(key).to_pylist(), batch.column(words), strict=True)):
+                if k != now:
+                    now = k
+                    last.clear()
+                mine = set(w.values.to_pylist()) if w.is_valid else set()
+                if not any(clash(s, mine) for s in last):
+                    last.append(mine)
+                    kept.append(i)
+            yield batch.select([key, order]).take(pa.array(kept, pa.int64()))
+
+    dealt = rows.select(key, order, words).repartition(key).sortWithinPartitions(key, order)
+    return dealt.mapInArrow(run, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import fields
 
 from lectern.functions import lines as L
 from lectern.functions import phrases as P
@@ -10,8 +11,10 @@ from lectern.functions.text import LINE_END, d_n_words, d_strip, d_words, q
 from lectern.operators import buckets as B
 from lectern.operators.keyphrases import BREAK
 from lectern.operators.pages import SEPARATOR
-from lectern.plans.queries import MARKUP, NEAR, TEMPLATE
+from lectern.plans.queries import MARKUP, NEAR, TEMPLATE, UNQUOTABLE
 from lectern.schema import BUCKETS, RELATIONS
+from lectern.settings import Settings
+from lectern.sources.readers import HTML_BREAKS, HTML_ENTITIES, HTML_LEADS, HTML_SKIPPED
 
 KEY = "doc_id, slide_id, page_number"
 
@@ -72,6 +75,12 @@ def _content(routed: str) -> str:
     return f"select s.doc_id, s.slide_id, s.page_number, {cols}, coalesce(ocr_applied, false) as ocr_applied from slides s left join (select {KEY}, {lists}, bool_or(ocr) as ocr_applied from {routed} group by {KEY}) c on s.doc_id = c.doc_id and s.slide_id = c.slide_id and s.page_number = c.page_number"
 
 
+def _resolve(triples: str, forms: str) -> str:
+    cols = "t.* replace (coalesce(a.canonical, t.subject) as subject, coalesce(b.canonical, t.object) as object)"
+    on = lambda x, end: f"{x}.doc_id = t.doc_id and {x}.slide_id = t.slide_id and {x}.page_number = t.page_number and {x}.form = t.{end}"
+    return f"select * from (select {cols} from {triples} t left join {forms} a on {on('a', 'subject')} left join {forms} b on {on('b', 'object')}) where subject <> object"
+
+
 _ALL = " || ".join(BUCKETS)
 _SAID = f"coalesce(array_to_string({_ALL}, ' '), '')"
 _ARTICLE = f"regexp_replace(x, {q('^[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}]+|[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}]+$')}, '', 'g')"
@@ -85,6 +94,11 @@ _PAIR_TEXT = (
 )
 _ODD = f"case when len(table_cells) % 2 = 1 then [{_CELL.replace('(c,', '(table_cells[len(table_cells)],')}] else []::varchar[] end"
 _STOPS = ", ".join(map(q, P.STOP_WORDS))
+_SENTENCE = "coalesce(list_filter(string_split(regexp_replace(clean_text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: contains(lower(x), phrase))[1], left(clean_text, 200))"
+
+
+def _hex(x: str, at: int) -> str:
+    return f"(instr('0123456789abcdef', substr({x}, {at}, 1)) - 1)"
 
 CHAIN += [
     ("content0", _content("routed")),
@@ -104,20 +118,30 @@ CHAIN += [
     ("placed", "select b.*, t.clean_text, case when len(list_filter(headings, lambda x: contains(lower(x), b.phrase))) > 0 then 'heading' when len(list_filter(bullets, lambda x: contains(lower(x), b.phrase))) > 0 then 'bullet' when len(list_filter(table_cells, lambda x: contains(lower(x), b.phrase))) > 0 then 'table' when len(list_filter(captions, lambda x: contains(lower(x), b.phrase))) > 0 then 'caption' else 'body' end as source_type from best b join texts t on b.doc_id = t.doc_id and b.slide_id = t.slide_id and b.page_number = t.page_number"),
     ("phrases", f"select * from (select *, row_number() over (partition by {KEY} order by score desc, ord) as rank from (select * replace (round(case when source_type = 'heading' then least(score + 0.15, 1.0) else score end, 4) as score) from placed)) where rank <= 25"),
     ("nextp", f"select *, lead(phrase) over (partition by {KEY} order by rank) as nxt from phrases"),
-    ("onet", f"""select {KEY}, rank, concat('{{"subject": "', case when rank % 4 = 0 then concat(upper(phrase), ' ') else phrase end, '", "relation": "', ([{", ".join(map(q, (*RELATIONS, "knows")))}])[rank % 9 + 1], '", "object": "', nxt, '", "evidence": "of ', phrase, '", "confidence": ', case when rank % 11 = 10 then '"high"' else concat('0.', cast(60 + rank * 7 % 40 as varchar)) end, '}}') as t from nextp where nxt is not null"""),
+    ("onet", f"""select {KEY}, rank, concat('{{"subject": "', case when rank % 4 = 0 then concat(translate(phrase, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), ' ') else phrase end, '", "relation": "', ([{", ".join(map(q, (*RELATIONS, "knows")))}])[rank % 9 + 1], '", "object": "', nxt, '", "evidence": "', case when rank % 3 = 1 then regexp_replace({_SENTENCE}, {q(UNQUOTABLE)}, ' ', 'g') else concat('of ', phrase) end, '", "confidence": ', case when rank % 11 = 10 then '"high"' else concat('0.', cast(60 + rank * 7 % 40 as varchar)) end, '}}') as t from nextp where nxt is not null"""),
     ("responses", f"""select {KEY}, case when page_number % 5 = 0 then concat('{{"note": "x", "triples": [', b, ']}}') when page_number % 17 = 0 then 'oops' else concat('[', b, ']') end as response from (select {KEY}, string_agg(t, ', ' order by rank) as b from onet group by {KEY})"""),
     ("jsons", f"select {KEY}, case when starts_with(response, '[') then response when starts_with(response, '{{') then json_extract(response, '$.triples')::varchar end as body from responses"),
     ("rawt", f"select {KEY}, i - 1 as ord, json_extract_string(x, '$.subject') as subject, json_extract_string(x, '$.relation') as relation, json_extract_string(x, '$.object') as object, json_extract_string(x, '$.evidence') as evidence, json_extract_string(x, '$.confidence') as confidence from (select {KEY}, js[i] as x, i from (select {KEY}, js, unnest(range(1, len(js) + 1)) as i from (select {KEY}, from_json(body, '[\"JSON\"]') as js from jsons where body is not null)))"),
     ("normt", f"select {KEY}, ord, {d_strip('lower(subject)')} as subject, {d_strip('relation')} as relation, {d_strip('lower(object)')} as object, {d_strip('evidence')} as evidence, coalesce(try_cast(confidence as double), 0) as confidence from rawt"),
     ("anchors", f"select distinct {KEY}, unnest([lower(phrase)] || list_filter([{P.d_without_parens('lower(phrase)')}, {P.d_without_calls('lower(phrase)')}], lambda x: length(x) >= 2)) as anchor from phrases"),
     ("anchored", f"select * from normt n where subject <> object and relation in ({', '.join(map(q, RELATIONS))}) and not {P.d_structural_label('subject')} and not {P.d_structural_label('object')} and exists (select 1 from anchors a where a.doc_id = n.doc_id and a.slide_id = n.slide_id and a.page_number = n.page_number and a.anchor = n.subject) and exists (select 1 from anchors a where a.doc_id = n.doc_id and a.slide_id = n.slide_id and a.page_number = n.page_number and a.anchor = n.object)"),
-    ("passedt", "select * from anchored where confidence >= 0.7 and evidence <> ''"),
+    ("forms", f"select {KEY}, form, arg_min(canonical, way * 1000000 + rank) as canonical from (select {KEY}, lower(phrase) as canonical, rank, unnest([0, 1, 1]) as way, unnest([lower(phrase), {P.d_without_parens('lower(phrase)')}, {P.d_without_calls('lower(phrase)')}]) as form from phrases) group by {KEY}, form"),
+    ("resolvedt", _resolve("anchored", "forms")),
+    ("said", "select distinct doc_id, slide_id, page_number, evidence, clean_text from normt join content using (doc_id, slide_id, page_number) where evidence <> ''"),
+    ("bagwords", f"select t, unnest({d_words('lower(t)')}) as w from (select distinct evidence as t from said union select distinct clean_text from said)"),
+    ("bags", f"select t, ({_hex('h', 1)} % 4) * 16 + {_hex('h', 2)} as d, sum(case when {_hex('h', 4)} % 2 = 1 then 1 else -1 end)::double as v from (select t, sha256(w) as h from bagwords) group by t, d"),
+    ("sizes", "select t, sum(v * v) as n from bags group by t"),
+    ("dots", "select s.evidence, s.clean_text, sum(a.v * b.v) as dot from (select distinct evidence, clean_text from said) s join bags a on a.t = s.evidence join bags b on b.t = s.clean_text and b.d = a.d group by s.evidence, s.clean_text"),
+    ("sims", "select s.doc_id, s.slide_id, s.page_number, s.evidence, case when x.n > 0 and y.n > 0 then coalesce(dot, 0) / (sqrt(x.n) * sqrt(y.n)) end as similarity from said s left join sizes x on x.t = s.evidence left join sizes y on y.t = s.clean_text left join dots p on p.evidence = s.evidence and p.clean_text = s.clean_text"),
+    ("poort", f"select {KEY}, bool_and(score = 0.4) as fallback from phrases group by {KEY}"),
+    ("passedt", "select r.* from resolvedt r join sims using (doc_id, slide_id, page_number, evidence) left join poort using (doc_id, slide_id, page_number) where confidence >= 0.7 and evidence <> '' and similarity >= case when coalesce(fallback, false) then 0.5 else 0.65 end"),
     ("paired", f"select * from (select {KEY}, ord, subject, object, confidence from normt union all select {KEY}, ord + 1000, object, concat(subject, ' of it'), confidence from normt union all select {KEY}, ord + 2000, subject, object, confidence + 0.01 * (ord % 3 - 1) from normt) where subject <> object"),
     ("grams", "select distinct case i % 8 when 0 then concat('to ', p) when 1 then concat(p, '(', p, ')') when 2 then concat('summary ', p, ' 1/2') when 3 then concat(p, '{5}') when 4 then concat('this ', p) when 5 then concat(p, '()') when 6 then '12, 3.4' else p end as p from (select i, array_to_string(list_slice(w, i, i + k - 1), ' ') as p from (select w, i, unnest(range(1, 6)) as k from (select w, unnest(range(1, len(w) + 1)) as i from (select regexp_split_to_array(lower(text), ' +') as w from benchmark))))"),
-    ("gwords", f"select distinct {d_strip('lower(p)')} as p from grams where {d_strip('lower(p)')} <> ''"),
-    ("gpairs", "select p, unnest([{'way': 0, 'o': p}, {'way': 1, 'o': string_split(p, ' ')[1]}, {'way': 2, 'o': coalesce(array_to_string(list_transform(list_filter(string_split(regexp_replace(p, '[^a-z ]', '', 'g'), ' '), lambda w: w <> ''), lambda w: w[1]), ''), '')}, {'way': 3, 'o': concat('x', p)}]) as x from gwords"),
     ("chunk0", f"select {KEY}, list_filter(list_transform(string_split(array_to_string(list_transform({d_words(_sub('lower(text)', r'[^\p{L}\p{N}\s_-]+', chr(39) + ' | ' + chr(39)))}, lambda w: case when w in ('|', {_STOPS}) then '|' else w end), ' '), '|'), lambda x: {d_strip('x')}), lambda x: x <> '') as parts from texts where ok"),
     ("chunks", f"select {KEY}, chunk, min(i - 1) as ord from (select {KEY}, i, {P.d_clean('raw')} as chunk from (select {KEY}, i, parts[i] as raw from (select *, unnest(range(1, len(parts) + 1)) as i from chunk0)) where len({d_words('raw')}) <= 4) where length(chunk) >= 3 and not regexp_matches(chunk, '^\\d') group by {KEY}, chunk"),
+    ("strings", "select distinct p from (select p from grams union all select phrase from found union all select chunk from chunks union all select subject from rawt union all select object from rawt) where p is not null"),
+    ("gwords", f"select distinct {d_strip('lower(p)')} as p from strings where {d_strip('lower(p)')} <> ''"),
+    ("gpairs", "select p, unnest([{'way': 0, 'o': p}, {'way': 1, 'o': string_split(p, ' ')[1]}, {'way': 2, 'o': coalesce(array_to_string(list_transform(list_filter(string_split(regexp_replace(p, '[^a-z ]', '', 'g'), ' '), lambda w: w <> ''), lambda w: w[1]), ''), '')}, {'way': 3, 'o': concat('x', p)}]) as x from gwords"),
     ("vecs", "select label, vec_id, embedding::double[] as v from embeddings"),
     ("firstv", "select label, arg_min(v, vec_id) as f from vecs group by label"),
     ("cosines", "select vec_id, list_cosine_similarity(v, f) as c from vecs join firstv using (label)"),
@@ -211,27 +235,28 @@ def selects() -> dict[str, str]:
         "kp_ner": f"select {p}, ord, phrase, label, score from found",
         "kp_max_score": f"select {p}, phrase, score, ord from best",
         "kp_label_dist": "select label, count(*) as n from found group by label",
-        "kp_clean": f"select p, {P.d_clean('p')} as cleaned from grams",
-        "kp_valid": f"select p, {P.d_valid(low)} as ok from grams",
-        "kp_label": f"select p, {P.d_slide_label(low)} as ok from grams",
-        "kp_linguistic": f"select p, length(p) >= 3 and len(list_filter({d_words('p')}, lambda w: w not in ({_STOPS}))) > 0 as ok from grams",
+        "kp_clean": f"select p, {P.d_clean('p')} as cleaned from strings",
+        "kp_valid": f"select p, {P.d_valid(low)} as ok from strings",
+        "kp_label": f"select p, {P.d_slide_label(low)} as ok from strings",
+        "kp_linguistic": f"select p, length(p) >= 3 and len(list_filter({d_words('p')}, lambda w: w not in ({_STOPS}))) > 0 as ok from strings",
         "kp_noun_chunks": f"select {p}, chunk, ord from chunks",
         "kp_chunk_xval": "select b.doc_id, b.page_number, b.phrase from best b where exists (select 1 from chunks c where c.doc_id = b.doc_id and c.slide_id = b.slide_id and c.page_number = b.page_number and c.chunk = b.phrase)",
         "kp_source_type": f"select {p}, phrase, source_type from phrases",
         "kp_boost": f"select {p}, phrase, score from phrases",
-        "kp_sentence": f"select {p}, phrase, coalesce(list_filter(list_transform(string_split(regexp_replace(clean_text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x), lambda x: contains(lower(x), phrase))[1], left(clean_text, 200)) as appears_in from phrases",
+        "kp_sentence": f"select {p}, phrase, {_SENTENCE} as appears_in from phrases",
         "kp_limit": f"select {p}, phrase, rank from (select *, row_number() over (partition by {KEY} order by score desc, ord) as rank from best) where rank <= 3",
         "kp_topk": f"select {p}, phrase, score from (select *, row_number() over (partition by {KEY} order by score desc, ord) as rank from best) where rank <= 4 and score >= 0.5",
         "kp_stats": "select doc_id, coalesce(n_phrases, 0) as n_phrases, n_slides, round_even(coalesce(n_phrases, 0) / n_slides, 4) as mean_phrases from (select doc_id, count(*) as n_slides from content group by doc_id) left join (select doc_id, count(*) as n_phrases from phrases group by doc_id) using (doc_id)",
+        "kp_top": f"select {p}, count(*) as n_phrases, array_to_string(list(phrase order by rank)[1:3], ', ') as top3, array_to_string(list(phrase order by rank)[1:5], ', ') as top5 from phrases group by {p}",
         "kp_score_cos": "select vec_id, round(c, 4) as score from cosines",
         "kp_dedup": f"select cast(label as varchar) as doc_id, x.id as vec_id from (select label, unnest(list_reduce(xs, lambda acc, x: case when len(list_filter(acc, lambda k: list_cosine_similarity(k.v, x.v) >= {NEAR})) > 0 then acc else list_append(acc, x) end, xs[1:0])) as x from (select label, list({{'id': vec_id, 'v': v}} order by vec_id) as xs from vecs group by label))",
         "kp_fallback": f"select {p}, phrase, score from (with n as (select {KEY}, count(*) as n from best group by {KEY}), poor as (select t.doc_id, t.slide_id, t.page_number from texts t left join n on n.doc_id = t.doc_id and n.slide_id = t.slide_id and n.page_number = t.page_number where t.ok and coalesce(n.n, 0) <= 3 and {d_n_words('t.text')} >= 20) select b.doc_id, b.slide_id, b.page_number, b.phrase, b.score from best b anti join poor o on b.doc_id = o.doc_id and b.slide_id = o.slide_id and b.page_number = o.page_number union all select c.doc_id, c.slide_id, c.page_number, {d_strip('lower(c.chunk)')}, 0.4 from chunks c semi join poor o on c.doc_id = o.doc_id and c.slide_id = o.slide_id and c.page_number = o.page_number where {P.d_valid(d_strip('lower(c.chunk)'))})",
         "tr_prompt": f"select c.doc_id, c.page_number, replace(replace({q(TEMPLATE)}, '{{keyphrases}}', k), '{{slide_text}}', clean_text) as prompt from content c join (select {KEY}, string_agg(concat('- ', phrase), chr(10) order by rank) as k from phrases group by {KEY}) f on c.doc_id = f.doc_id and c.slide_id = f.slide_id and c.page_number = f.page_number",
         "tr_parse": f"select {p}, ord, subject, relation, object, evidence, confidence from rawt",
         "tr_normalize": f"select {p}, ord, subject, relation, object, evidence, confidence from normt",
-        "tr_anchor_set": f"select p, array_to_string(list_sort(list_distinct([p] || list_filter([{P.d_without_parens('p')}, {P.d_without_calls('p')}], lambda x: length(x) >= 2))), '|') as anchors from grams",
+        "tr_anchor_set": f"select p, array_to_string(list_sort(list_distinct([p] || list_filter([{P.d_without_parens('p')}, {P.d_without_calls('p')}], lambda x: length(x) >= 2))), '|') as anchors from strings",
         "tr_anchor": f"select {p}, ord, subject, object from anchored",
-        "tr_label": f"select p, {P.d_structural_label(low)} as ok from grams",
+        "tr_label": f"select p, {P.d_structural_label(low)} as ok from strings",
         "tr_confidence": f"select {p}, ord, confidence from normt where confidence >= 0.7",
         "tr_evidence": "select vec_id from cosines where c >= case when vec_id % 2 = 0 then 0.15 else 0.3 end",
         "tr_validate_all": f"select {p}, ord, subject, relation, object, evidence, confidence from passedt",
@@ -240,7 +265,7 @@ def selects() -> dict[str, str]:
         "tr_sem_dedup": f"select {p}, x.subject as subject, x.object as object, x.confidence as confidence from ({sem('paired')})",
         "tr_rel_dist": "select relation, count(*) as n from passedt group by relation",
         "tr_stats": f"select doc_id, n_slides, n_slides - coalesce(n_busy, 0) as n_skipped, coalesce(n_raw, 0) as n_raw, coalesce(n_passed, 0) as n_passed, coalesce(n_kept, 0) as n_kept, case when coalesce(n_raw, 0) > 0 then round_even(coalesce(n_passed, 0) / n_raw, 4) else 0.0 end as pass_rate from (select doc_id, count(*) as n_slides from content group by doc_id) left join (select doc_id, count(*) as n_raw, count(distinct slide_id) as n_busy from rawt group by doc_id) using (doc_id) left join (select doc_id, count(*) as n_passed from passedt group by doc_id) using (doc_id) left join (select doc_id, count(*) as n_kept from ({dp.format(src='passedt')}) group by doc_id) using (doc_id)",
-        "tr_resolve": f"select rank, p as subject from (select p, dense_rank() over (order by p) as rank, {P.d_without_parens('p')} as bare from grams where p like '%(%' and p not like '%|%') r where false",
+        "tr_resolve": _resolved_strings(),
         "src_cache": "select doc_id, sha256(text) as sha from docs d where not exists (select 1 from docs e where e.lang = 'en' and e.text = d.text)",
         "src_upload": "select page_id, regexp_extract(regexp_replace(url, '[?#].*$', ''), '([^/\\\\]+?)(?:\\.[^./\\\\]*)?$', 1) as stem from pages",
         "snk_step2_stats": "",
@@ -251,11 +276,64 @@ def selects() -> dict[str, str]:
     }
 
 
+def _resolved_strings() -> str:
+    """Strings as phrases: of a string's bare form, itself if it is a string, else the first string with that bare form."""
+    named = "select 'd' as doc_id, left(p, 2) as slide_id, 1 as page_number, p as phrase, row_number() over (partition by left(p, 2) order by p) as rank from strings where p <> ''"
+    forms = f"select {KEY}, form, arg_min(canonical, way * 1000000000 + rank) as canonical from (select {KEY}, lower(phrase) as canonical, rank, unnest([0, 1, 1]) as way, unnest([lower(phrase), {P.d_without_parens('lower(phrase)')}, {P.d_without_calls('lower(phrase)')}]) as form from named) group by {KEY}, form"
+    raw = f"select {KEY}, rank, {P.d_without_parens('lower(phrase)')} as subject, 'zzz' as object from named"
+    return f"select slide_id, rank, subject from (with named as ({named}), nforms as ({forms}), nraw as ({raw}) {_resolve('nraw', 'nforms')})"
+
+
+def _html() -> str:
+    t = _sub("html", HTML_SKIPPED)
+    for tag, lead in HTML_LEADS:
+        t = _sub(t, rf"(?is)<{tag}\b[^>]*>", f"chr(10) || {q(lead)}")
+    t = _sub(_sub(t, HTML_BREAKS, "chr(10)"), r"<[^>]*>", "' '")
+    for name, char in HTML_ENTITIES:
+        t = f"replace({t}, {q(name)}, {q(char)})"
+    return d_strip(_sub(_sub(t, r"[ \t]+", "' '"), r" ?\n[ \n]*", "chr(10)"))
+
+
+def _step3() -> str:
+    """Phrases of rich slides, and of poor ones what the splitter offers."""
+    p = "doc_id, page_number"
+    kind = "case when len(list_filter(headings, lambda x: contains(lower(x), phrase))) > 0 then 'heading' when len(list_filter(bullets, lambda x: contains(lower(x), phrase))) > 0 then 'bullet' when len(list_filter(table_cells, lambda x: contains(lower(x), phrase))) > 0 then 'table' when len(list_filter(captions, lambda x: contains(lower(x), phrase))) > 0 then 'caption' else 'body' end"
+    low = d_strip("lower(c.chunk)")
+    n = f"select {KEY}, count(*) as n from best group by {KEY}"
+    poor = f"select t.* from texts t left join n on n.doc_id = t.doc_id and n.slide_id = t.slide_id and n.page_number = t.page_number where t.ok and coalesce(n.n, 0) <= 3 and {d_n_words('t.text')} >= 20"
+    own = f"select {KEY}, phrase, round(case when source_type = 'heading' then least(score + 0.15, 1.0) else score end, 4) as score, source_type, {_SENTENCE} as appears_in, ord from placed b anti join poor o using ({KEY})"
+    more = f"select {KEY}, phrase, 0.4 as score, {kind} as source_type, {_SENTENCE} as appears_in, ord from (select o.*, {low} as phrase, c.ord from chunks c join poor o using ({KEY}) where {P.d_valid(low)})"
+    return f"select {p}, phrase, score, source_type, appears_in, rank from (with n as ({n}), poor as ({poor}), every as ({own} union all {more}) select *, row_number() over (partition by {KEY} order by score desc, ord) as rank from every) where rank <= 25"
+
+
+def _settings() -> str:
+    rows = [(p, f.name, str(getattr(Settings.of(p), f.name))) for p in ("notebook", "backend") for f in fields(Settings) if f.name != "profile"]
+    return "select * from (values " + ", ".join(f"({q(a)}, {q(b)}, {q(c)})" for a, b, c in rows) + ") t(profile, field, value)"
+
+
+def _io() -> dict[str, str]:
+    """What comes back from sinks and readers is what went in, repaired by the loader where it does that."""
+    p = "doc_id, page_number"
+    pdf = "select doc_id, sha256(body) as sha, unnest(range(1, len(string_split(body, chr(12))) + 1)) as page_number, string_split(body, chr(12)) as parts from (select concat('d', doc_id) as doc_id, replace(text, '. ', '. ' || chr(12)) as body from docs)"
+    md = d_strip("regexp_replace(parts[page_number], '\\n{3,}', chr(10) || chr(10), 'g')")
+    return {
+        "src_settings": _settings(),
+        "src_html": f"select page_id, {_html()} as markdown from pages",
+        "src_pdf_text": f"select * from (select doc_id, sha, page_number, {md} as raw_markdown from ({pdf})) where raw_markdown <> ''",
+        "src_parsed_json": "select slide_id, page_number, raw_markdown, 'deck' as doc_id from slides",
+        "src_preprocessed_json": f"select printf('slide_%03d', page_number) as slide_id, page_number, 'deck' as doc_id, array_to_string(headings || body_text || bullets, ' ') as clean_text, {_flat('body_text', 'bullets', 'code_lines')} from fixed",
+        "snk_step1": "select doc_id, slide_id, page_number, raw_markdown from slides",
+        "snk_step2": f"select {p}, clean_text, {_bar('bullets')} as bullets, cast(len(headings) as bigint) as n_headings, length(clean_text) as clean_text_len from content",
+        "snk_md_files": "select case when doc_id = '' then 'none' else doc_id end as doc_id, slide_id, concat(raw_markdown, chr(10)) as value from slides",
+        "kp_step3": _step3(),
+        "tr_similarity": f"select {p}, evidence, round(similarity, 9) as similarity from sims",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
-    out = selects()
+    out = selects() | _io()
     out["snk_step2_stats"] = out["as_stats"].replace("slide_id, ", "")
     out["tr_llm"] = f"select doc_id, page_number, response from (select distinct {KEY} from phrases) left join responses using ({KEY})"
-    del out["tr_resolve"]
     return {k: _whole(v) for k, v in out.items()}
 
 

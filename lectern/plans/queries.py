@@ -7,6 +7,8 @@ branch of the router is met. Decks of the page operators are languages in text o
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import fields
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,12 +17,13 @@ from pyspark.sql.window import Window
 
 from lectern.functions import lines as L
 from lectern.functions import phrases as P
-from lectern.functions.text import strip
+from lectern.functions.text import ascii_upper, strip
 from lectern.functions.vectors import cosine
 from lectern.operators import buckets as B
 from lectern.operators import keyphrases as K
 from lectern.operators import pages as PG
 from lectern.operators import triples as TR
+from lectern.plans.stage import Workspace
 from lectern.sources import backends, readers, writers
 from lectern.settings import Settings
 
@@ -29,6 +32,8 @@ NB, BE = Settings.of("notebook"), Settings.of("backend")
 FILTER_NB = Settings(repetition_share=0.04)
 FILTER_BE = Settings(profile="backend", repetition_share=0.04, repetition_min_slides=2)
 NEAR = 0.30
+#: What a JSON string must not hold as it is.
+UNQUOTABLE = r'["\\\x00-\x1f]'
 TEMPLATE = "Phrases:\n{keyphrases}\nText:\n{slide_text}"
 
 #: Markup by line number; plain SQL that both engines read. {i}: the line's number, {l}: the line.
@@ -74,37 +79,81 @@ def lexicon(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select(w.alias("phrase")).where(n >= 5).distinct().select("phrase", F.concat(F.lit("L"), (n % 3).cast("string")).alias("label"), ((30 + 7 * (n % 10)).cast("double") / 100).alias("score"))
 
 
+class Steps:
+    """Tables of the steps, each written once, on first use."""
+
+    def __init__(self, space: Workspace, spark: SparkSession, sf: str):
+        self.space, self.spark, self.sf = space, spark, sf
+
+    @cached_property
+    def content(self) -> DataFrame:
+        return self.space.table(content(self.spark, self.sf), "content")
+
+    @cached_property
+    def backend(self) -> DataFrame:
+        return self.space.table(content(self.spark, self.sf, "backend"), "content")
+
+    @cached_property
+    def phrases(self) -> DataFrame:
+        return self.space.table(K.keyphrases(self.content, lexicon(self.spark, self.sf)), "phrases")
+
+    @cached_property
+    def gated(self) -> DataFrame:
+        return self.space.table(self.content.where(K.pedagogical()).withColumn("text", K.extraction_text()), "gated")
+
+    @cached_property
+    def recognized(self) -> DataFrame:
+        return self.space.table(K.recognize(self.gated, lexicon(self.spark, self.sf)), "recognized")
+
+    @cached_property
+    def chunks(self) -> DataFrame:
+        return self.space.table(K.noun_chunks(self.gated), "chunks")
+
+    @cached_property
+    def triples(self) -> TR.Extracted:
+        return TR.extract(self.content, self.phrases, lambda p: backends.replay(p, responses(self.phrases)), TEMPLATE, self.space)
+
+    @cached_property
+    def strings(self) -> DataFrame:
+        """p: the distinct phrases, chunks and triple ends of all slides, and grams."""
+        ends = self.triples.raw.select(F.explode(F.array("subject", "object")).alias("p"))
+        found = self.recognized.select(F.col("phrase").alias("p")).unionByName(self.chunks.select(F.col("chunk").alias("p")))
+        every = grams(self.spark, self.sf).unionByName(found).unionByName(ends).where("p is not null")
+        return self.space.table(every.distinct(), "strings")
+
+
+def held(f: Callable[[Steps], DataFrame]) -> Callable:
+    """A query over the steps' tables. They go at its end; its result is a table that stays."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        with Workspace(spark) as space:
+            return space.finish(f(Steps(space, spark, sf)), "result")
+
+    return run
+
+
 def phrases(spark: SparkSession, sf: str) -> DataFrame:
     return K.keyphrases(content(spark, sf), lexicon(spark, sf))
 
 
-def responses(spark: SparkSession, sf: str) -> DataFrame:
-    """An answer a slide: neighbouring phrases as triples, some broken, in an object or a list by page."""
+def responses(phrases: DataFrame) -> DataFrame:
+    """An answer a slide: neighbouring phrases as triples, some broken, in an object or a list by page. Every third
+    triple's evidence is the sentence that holds its subject, as models quote; the others name the phrase alone."""
     w = Window.partitionBy(*B.KEY).orderBy("rank")
-    p = phrases(spark, sf).withColumn("next", F.lead("phrase").over(w)).where("next is not null")
+    p = phrases.withColumn("next", F.lead("phrase").over(w)).where("next is not null")
     names = F.array(*[F.lit(x) for x in (*TR.RELATIONS, "knows")])
-    one = F.format_string('{"subject": "%s", "relation": "%s", "object": "%s", "evidence": "of %s", "confidence": %s}', F.when(F.col("rank") % 4 == 0, F.concat(F.upper("phrase"), F.lit(" "))).otherwise(F.col("phrase")), F.get(names, F.col("rank") % 9), F.col("next"), F.col("phrase"), F.when(F.col("rank") % 11 == 10, '"high"').otherwise(F.concat(F.lit("0."), (60 + F.col("rank") * 7 % 40).cast("string"))))
+    quoted = F.when(F.col("rank") % 3 == 1, F.regexp_replace("appears_in", UNQUOTABLE, " ")).otherwise(F.concat(F.lit("of "), F.col("phrase")))
+    one = F.format_string('{"subject": "%s", "relation": "%s", "object": "%s", "evidence": "%s", "confidence": %s}', F.when(F.col("rank") % 4 == 0, F.concat(ascii_upper(F.col("phrase")), F.lit(" "))).otherwise(F.col("phrase")), F.get(names, F.col("rank") % 9), F.col("next"), quoted, F.when(F.col("rank") % 11 == 10, '"high"').otherwise(F.concat(F.lit("0."), (60 + F.col("rank") * 7 % 40).cast("string"))))
     body = p.select(*B.KEY, "rank", one.alias("t")).groupBy(*B.KEY).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "t"))), lambda x: x["t"]), ", ").alias("b"))
     t = F.when(F.col("page_number") % 5 == 0, F.concat(F.lit('{"note": "x", "triples": ['), "b", F.lit("]}"))).when(F.col("page_number") % 17 == 0, F.lit("oops")).otherwise(F.concat(F.lit("["), F.col("b"), F.lit("]")))
     return body.select(*B.KEY, t.alias("response"))
 
 
 def raw_triples(spark: SparkSession, sf: str) -> DataFrame:
-    return TR.parsed(responses(spark, sf))
-
+    return TR.parsed(responses(phrases(spark, sf)))
 
-def similarities(raw: DataFrame, content: DataFrame) -> DataFrame:
-    """KEY, evidence, similarity: cosines of the raw triples' evidences and the texts of their slides."""
-    said = TR.normalized(raw).select(*B.KEY, "evidence").where("evidence <> ''").distinct()
-    said = said.join(content.select(*B.KEY, "clean_text"), list(B.KEY))
-    e = backends.embed(said, "evidence").withColumnRenamed("v", "ev")
-    t = backends.embed(said, "clean_text").withColumnRenamed("v", "tv")
-    return said.join(e, "evidence").join(t, "clean_text").select(*B.KEY, "evidence", cosine(F.col("ev"), F.col("tv")).alias("similarity"))
 
-
-def passed(spark: SparkSession, sf: str) -> DataFrame:
-    raw = raw_triples(spark, sf)
-    return TR.validate(raw, phrases(spark, sf), similarities(raw, content(spark, sf)))
+similarities = TR.similarities
 
 
 def wide(df: DataFrame) -> DataFrame:
@@ -137,12 +186,8 @@ def items(kinds: tuple[str, ...], profile: str = "notebook") -> Callable:
 
 
 def per_phrase(column: str, make) -> Callable:  # noqa: ANN001
-    """A rule over the distinct n-grams of the documents' first lines, or over another set of strings."""
-
-    def run(spark: SparkSession, sf: str) -> DataFrame:
-        return grams(spark, sf).select("p", make(F.col("p")).alias(column))
-
-    return run
+    """A rule over the distinct phrases, chunks and triple ends of all slides, and grams."""
+    return held(lambda st: st.strings.select("p", make(F.col("p")).alias(column)))
 
 
 def grams(spark: SparkSession, sf: str) -> DataFrame:
@@ -156,9 +201,9 @@ def grams(spark: SparkSession, sf: str) -> DataFrame:
     return p.select(marked.alias("p")).distinct()
 
 
-def pairs_of_phrases(spark: SparkSession, sf: str) -> DataFrame:
-    """Each gram with its first word, its initials and itself."""
-    g = grams(spark, sf).withColumn("p", strip(F.lower("p"))).where("p <> ''").distinct()
+def pairs_of_phrases(strings: DataFrame) -> DataFrame:
+    """Each string with its first word, its initials and itself."""
+    g = strings.withColumn("p", strip(F.lower("p"))).where("p <> ''").distinct()
     initials = F.array_join(F.transform(F.filter(F.split(F.regexp_replace("p", "[^a-z ]", ""), " ", -1), lambda w: w != ""), lambda w: F.left(w, F.lit(1))), "")
     firsts = F.array(F.col("p"), F.element_at(F.split("p", " ", -1), 1), initials, F.concat(F.lit("x"), F.col("p")))
     return g.select("p", F.posexplode(firsts).alias("way", "o"))
@@ -213,8 +258,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["bk_collect"] = lambda s, d: flat(content(s, d).drop("slide_id", "heading_phrases"), "headings", "body_text", "bullets", "table_cells", "captions", "code_lines")
     q["bucket_counts"] = lambda s, d: routed(s, d).groupBy("doc_id", "bucket").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.size("items")).alias("n_items"))
     # documents
-    q["xs_filter_nb"] = lambda s, d: flat(B.cross_slide_filter(content(s, d), FILTER_NB).select("doc_id", "page_number", "headings", "body_text", "bullets", "table_cells", "captions"), "headings", "body_text", "bullets", "table_cells", "captions")
-    q["xs_filter_be"] = lambda s, d: flat(B.cross_slide_filter(content(s, d, "backend"), FILTER_BE).select("doc_id", "page_number", "headings", "body_text", "bullets", "table_cells", "captions", "code_lines"), "headings", "body_text", "bullets", "table_cells", "captions", "code_lines")
+    q["xs_filter_nb"] = held(lambda st: flat(B.cross_slide_filter(st.content, FILTER_NB).select("doc_id", "page_number", "headings", "body_text", "bullets", "table_cells", "captions"), "headings", "body_text", "bullets", "table_cells", "captions"))
+    q["xs_filter_be"] = held(lambda st: flat(B.cross_slide_filter(st.backend, FILTER_BE).select("doc_id", "page_number", "headings", "body_text", "bullets", "table_cells", "captions", "code_lines"), "headings", "body_text", "bullets", "table_cells", "captions", "code_lines"))
     q["as_clean_text"] = lambda s, d: content(s, d).select("doc_id", "page_number", "clean_text")
     q["as_content"] = lambda s, d: content(s, d).where(B.has_content()).select("doc_id", "page_number")
     q["as_content_be"] = lambda s, d: content(s, d, "backend").where(B.has_content("backend")).select("doc_id", "page_number")
@@ -228,50 +273,62 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["kp_toc"] = lambda s, d: content(s, d).select("doc_id", "page_number", K.toc_slide().alias("toc"))
     q["kp_text_nb"] = lambda s, d: content(s, d).select("doc_id", "page_number", K.extraction_text().alias("t"))
     q["kp_text_be"] = lambda s, d: content(s, d, "backend").select("doc_id", "page_number", K.extraction_text("backend").alias("t"))
-    q["kp_ner"] = lambda s, d: recognized(s, d).select("doc_id", "page_number", "ord", "phrase", "label", "score")
-    q["kp_max_score"] = lambda s, d: K.best_scores(recognized(s, d)).select("doc_id", "page_number", "phrase", "score", "ord")
-    q["kp_label_dist"] = lambda s, d: K.label_distribution(recognized(s, d))
+    q["kp_ner"] = held(lambda st: st.recognized.select("doc_id", "page_number", "ord", "phrase", "label", "score"))
+    q["kp_max_score"] = held(lambda st: K.best_scores(st.recognized).select("doc_id", "page_number", "phrase", "score", "ord"))
+    q["kp_label_dist"] = held(lambda st: K.label_distribution(st.recognized))
     q["kp_clean"] = per_phrase("cleaned", P.clean)
     q["kp_valid"] = per_phrase("ok", lambda c: P.valid(strip(F.lower(c))))
     q["kp_label"] = per_phrase("ok", lambda c: P.slide_label(strip(F.lower(c))))
     q["kp_linguistic"] = per_phrase("ok", K.linguistic)
-    q["kp_noun_chunks"] = lambda s, d: chunks(s, d).select("doc_id", "page_number", "chunk", "ord")
-    q["kp_chunk_xval"] = lambda s, d: K.in_chunks(K.best_scores(recognized(s, d)), chunks(s, d)).select("doc_id", "page_number", "phrase")
-    q["kp_source_type"] = lambda s, d: phrases(s, d).select("doc_id", "page_number", "phrase", "source_type")
-    q["kp_boost"] = lambda s, d: phrases(s, d).select("doc_id", "page_number", "phrase", "score")
-    q["kp_sentence"] = lambda s, d: phrases(s, d).select("doc_id", "page_number", "phrase", "appears_in")
-    q["kp_limit"] = lambda s, d: K.limit(K.best_scores(recognized(s, d)), Settings(keyphrase_max=3)).select("doc_id", "page_number", "phrase", "rank")
-    q["kp_topk"] = lambda s, d: K.top_candidates(K.best_scores(recognized(s, d)), Settings(candidate_top=4, candidate_score=0.5)).select("doc_id", "page_number", "phrase", "score")
-    q["kp_stats"] = lambda s, d: K.phrase_stats(phrases(s, d), content(s, d))
+    q["kp_noun_chunks"] = held(lambda st: st.chunks.select("doc_id", "page_number", "chunk", "ord"))
+    q["kp_chunk_xval"] = held(lambda st: K.in_chunks(K.best_scores(st.recognized), st.chunks).select("doc_id", "page_number", "phrase"))
+    q["kp_source_type"] = held(lambda st: st.phrases.select("doc_id", "page_number", "phrase", "source_type"))
+    q["kp_boost"] = held(lambda st: st.phrases.select("doc_id", "page_number", "phrase", "score"))
+    q["kp_sentence"] = held(lambda st: st.phrases.select("doc_id", "page_number", "phrase", "appears_in"))
+    q["kp_limit"] = held(lambda st: K.limit(K.best_scores(st.recognized), Settings(keyphrase_max=3)).select("doc_id", "page_number", "phrase", "rank"))
+    q["kp_topk"] = held(lambda st: K.top_candidates(K.best_scores(st.recognized), Settings(candidate_top=4, candidate_score=0.5)).select("doc_id", "page_number", "phrase", "score"))
+    q["kp_stats"] = held(lambda st: K.phrase_stats(st.phrases, st.content))
+    q["kp_top"] = held(lambda st: K.top_phrases(st.phrases, 5).select("doc_id", "page_number", "n_phrases", F.array_join(F.slice("top", 1, 3), ", ").alias("top3"), F.array_join("top", ", ").alias("top5")))
     q["kp_score_cos"] = scored_vectors
     q["kp_dedup"] = kept_vectors
-    q["kp_fallback"] = fallback_phrases
+    q["kp_fallback"] = held(lambda st: K.with_fallback(K.best_scores(st.recognized), st.gated, chunk_phrases(st.chunks), settings=Settings(fallback_max_phrases=3)).select("doc_id", "page_number", "phrase", "score"))
+    q["kp_step3"] = held(whole_step3)
+    q["kp_step3_be"] = held(lambda st: K.ranked_chunks(st.backend).select("doc_id", "page_number", "phrase", "score", "source_type", "rank"))
     # triples
-    q["tr_prompt"] = lambda s, d: TR.prompts(phrases(s, d), content(s, d), TEMPLATE).select("doc_id", "page_number", "prompt")
-    q["tr_llm"] = lambda s, d: backends.replay(TR.prompts(phrases(s, d), content(s, d), TEMPLATE), responses(s, d)).select("doc_id", "page_number", "response")
-    q["tr_parse"] = lambda s, d: raw_triples(s, d).select("doc_id", "page_number", "ord", "subject", "relation", "object", "evidence", "confidence")
-    q["tr_normalize"] = lambda s, d: TR.normalized(raw_triples(s, d)).select("doc_id", "page_number", "ord", "subject", "relation", "object", "evidence", "confidence")
+    q["tr_prompt"] = held(lambda st: TR.prompts(st.phrases, st.content, TEMPLATE).select("doc_id", "page_number", "prompt"))
+    q["tr_llm"] = held(lambda st: backends.replay(TR.prompts(st.phrases, st.content, TEMPLATE), responses(st.phrases)).select("doc_id", "page_number", "response"))
+    q["tr_parse"] = held(lambda st: st.triples.raw.select("doc_id", "page_number", "ord", "subject", "relation", "object", "evidence", "confidence"))
+    q["tr_normalize"] = held(lambda st: TR.normalized(st.triples.raw).select("doc_id", "page_number", "ord", "subject", "relation", "object", "evidence", "confidence"))
     q["tr_anchor_set"] = per_phrase("anchors", lambda c: F.array_join(F.array_sort(P.anchors(c)), "|"))
-    q["tr_anchor"] = lambda s, d: TR.anchored(TR.normalized(raw_triples(s, d)), phrases(s, d)).select("doc_id", "page_number", "ord", "subject", "object")
+    q["tr_anchor"] = held(lambda st: TR.anchored(TR.normalized(st.triples.raw), st.phrases).select("doc_id", "page_number", "ord", "subject", "object"))
     q["tr_label"] = per_phrase("ok", lambda c: P.structural_label(strip(F.lower(c))))
-    q["tr_resolve"] = resolved_phrases
+    q["tr_resolve"] = held(resolved_phrases)
     q["tr_evidence"] = evidence_rows
-    q["tr_confidence"] = lambda s, d: TR.confident(TR.normalized(raw_triples(s, d))).select("doc_id", "page_number", "ord", "confidence")
-    q["tr_validate_all"] = lambda s, d: passed(s, d).select("doc_id", "page_number", "ord", "subject", "relation", "object", "evidence", "confidence")
-    q["tr_pair_dedup"] = lambda s, d: TR.dedup_pairs(paired(s, d)).select("doc_id", "page_number", "subject", "object", "confidence", "ord", "place")
-    q["tr_synonym"] = lambda s, d: pairs_of_phrases(s, d).select("p", "way", "o", P.synonyms(F.col("p"), F.col("o")).alias("same"))
-    q["tr_sem_dedup"] = lambda s, d: TR.dedup_synonyms(TR.dedup_pairs(paired(s, d))).select("doc_id", "page_number", "subject", "object", "confidence")
-    q["tr_rel_dist"] = lambda s, d: TR.relation_distribution(passed(s, d))
-    q["tr_stats"] = lambda s, d: TR.triple_stats(content(s, d), raw_triples(s, d), passed(s, d), TR.dedup_pairs(passed(s, d)))
+    q["tr_similarity"] = held(lambda st: TR.similarities(st.triples.raw, st.content).select("doc_id", "page_number", "evidence", F.round("similarity", 9).alias("similarity")))
+    q["tr_confidence"] = held(lambda st: TR.confident(TR.normalized(st.triples.raw)).select("doc_id", "page_number", "ord", "confidence"))
+    q["tr_validate_all"] = held(lambda st: st.triples.passed.select("doc_id", "page_number", "ord", "subject", "relation", "object", "evidence", "confidence"))
+    q["tr_pair_dedup"] = held(lambda st: TR.dedup_pairs(paired(st)).select("doc_id", "page_number", "subject", "object", "confidence", "ord", "place"))
+    q["tr_synonym"] = held(lambda st: pairs_of_phrases(st.strings).select("p", "way", "o", P.synonyms(F.col("p"), F.col("o")).alias("same")))
+    q["tr_sem_dedup"] = held(lambda st: TR.dedup_synonyms(TR.dedup_pairs(paired(st))).select("doc_id", "page_number", "subject", "object", "confidence"))
+    q["tr_rel_dist"] = held(lambda st: TR.relation_distribution(st.triples.passed))
+    q["tr_stats"] = held(lambda st: TR.triple_stats(st.content, st.triples.raw, st.triples.passed, TR.dedup_pairs(st.triples.passed)))
     # sources and sinks
+    q["src_settings"] = settings_rows
+    q["src_pdf_text"] = lambda s, d: readers.pdf_pages(t(s, d, "documents").where("text is not null").select(F.concat(F.lit("decks/d"), "doc_id", F.lit(".pdf")).alias("path"), F.replace("text", F.lit(". "), F.lit(". \f")).cast("binary").alias("content")))
+    q["src_parsed_json"] = json_round_trip(lambda st: slides(st.spark, st.sf).drop("lang"), lambda s, p: readers.parsed_json(s, p, "deck", lines=True), "slide_id", "page_number", "raw_markdown", "doc_id")
+    q["src_preprocessed_json"] = json_round_trip(lambda st: loaded(st.spark, st.sf).drop("doc_id"), lambda s, p: flat(readers.preprocessed_json(s, p, "deck", lines=True), "body_text", "bullets", "code_lines"), "slide_id", "page_number", "doc_id", "body_text", "bullets", "code_lines", "clean_text")
+    q["snk_step1"] = sunk(lambda st: slides(st.spark, st.sf).drop("lang"), "slide_id", "page_number", "raw_markdown")
+    q["snk_step2"] = sunk(lambda st: writers.step2_report(st.content).select(*B.KEY, "clean_text", "bullets", "stats"), "page_number", "clean_text", "array_join(bullets, '|') as bullets", "stats.n_headings", "stats.clean_text_len")
+    q["snk_step4"] = sunk(lambda st: writers.step4_report(st.content, st.phrases, st.triples.raw, st.triples.kept), "page_number", "raw_count", "validated_count", "case when raw_triples is null then 0 else size(raw_triples) end as n_raw", "array_join(transform(triples, x -> concat_ws('>', x.subject, x.relation, x.object)), '|') as triples")
+    q["snk_md_files"] = held(markdown_files)
     q["src_cache"] = lambda s, d: t(s, d, "documents").where("text is not null").withColumn("sha", F.sha2(F.col("text").cast("binary"), 256)).join(t(s, d, "documents").where("text is not null and lang = 'en'").select(F.sha2(F.col("text").cast("binary"), 256).alias("sha")).distinct(), "sha", "left_anti").select("doc_id", "sha")
     q["src_upload"] = lambda s, d: t(s, d, "pages").select("page_id", readers.stem(F.regexp_replace("url", "[?#].*$", "")).alias("stem"))
     q["src_html"] = lambda s, d: t(s, d, "pages").select("page_id", readers.html_markdown(F.col("html")).alias("markdown"))
     q["snk_step2_stats"] = lambda s, d: writers.step2_report(content(s, d)).select("doc_id", "page_number", "stats.*")
-    q["snk_step3"] = lambda s, d: writers.keyphrases_by_slide(phrases(s, d)).select("doc_id", "page_number", F.array_join(F.transform("keyphrases", lambda p: p["phrase"]), "|").alias("phrases"))
-    q["snk_step4_report"] = lambda s, d: writers.step4_report(content(s, d), phrases(s, d), raw_triples(s, d), passed(s, d)).select("doc_id", "page_number", F.array_join("keyphrases", "|").alias("keyphrases"), "raw_count", "validated_count")
-    q["edges"] = lambda s, d: TR.edges(TR.dedup_synonyms(TR.dedup_pairs(passed(s, d)))).select("doc_id", "slide_id", "subject", "relation", "object", "confidence", "source")
-    q["vertices"] = lambda s, d: TR.vertices(passed(s, d))
+    q["snk_step3"] = held(lambda st: writers.keyphrases_by_slide(st.phrases).select("doc_id", "page_number", F.array_join(F.transform("keyphrases", lambda p: p["phrase"]), "|").alias("phrases")))
+    q["snk_step4_report"] = held(lambda st: writers.step4_report(st.content, st.phrases, st.triples.raw, st.triples.passed).select("doc_id", "page_number", F.array_join("keyphrases", "|").alias("keyphrases"), "raw_count", "validated_count"))
+    q["edges"] = held(lambda st: TR.edges(st.triples.kept).select("doc_id", "slide_id", "subject", "relation", "object", "confidence", "source"))
+    q["vertices"] = held(lambda st: TR.vertices(st.triples.passed))
     return {k: (lambda s, d, f=f: wide(f(s, d))) for k, f in q.items()}
 
 
@@ -286,16 +343,53 @@ def loaded(spark: SparkSession, sf: str) -> DataFrame:
     return d.select(F.coalesce("source", F.lit("")).alias("doc_id"), F.format_string("slide_%03d", F.col("doc_id").cast("int")).alias("slide_id"), F.col("doc_id").cast("int").alias("page_number"), F.array(head).alias("headings"), body.alias("body_text"), bullets.alias("bullets"), none.alias("table_cells"), none.alias("captions"), none.alias("code_lines"), F.array(head).alias("heading_phrases"))
 
 
-def gated(spark: SparkSession, sf: str) -> DataFrame:
-    return content(spark, sf).where(K.pedagogical()).withColumn("text", K.extraction_text())
+def chunk_phrases(chunks: DataFrame) -> DataFrame:
+    """The splitter's chunks in place of a model's phrases."""
+    return chunks.select(*B.KEY, F.col("chunk").alias("phrase"), "ord")
+
+
+def whole_step3(st: Steps) -> DataFrame:
+    """Step 3 with its fallback on poor slides."""
+    lex, settings = lexicon(st.spark, st.sf), Settings(fallback_max_phrases=3)
+    found = K.keyphrases(st.content, lex, settings, offered=lambda poor: chunk_phrases(K.noun_chunks(poor)))
+    return found.select("doc_id", "page_number", "phrase", "score", "source_type", "appears_in", "rank")
+
+
+def settings_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The fields of both profiles, as text."""
+    rows = [(p, f.name, str(getattr(Settings.of(p), f.name))) for p in ("notebook", "backend") for f in fields(Settings) if f.name != "profile"]
+    return spark.createDataFrame(rows, "profile string, field string, value string")
 
 
-def recognized(spark: SparkSession, sf: str) -> DataFrame:
-    return K.recognize(gated(spark, sf), lexicon(spark, sf))
+def json_round_trip(make, read, *columns: str) -> Callable:  # noqa: ANN001
+    """Rows as JSON arrays, a line each, read by a reader of decks."""
 
+    def run(st: Steps) -> DataFrame:
+        df, path = make(st), st.space.folder("json")
+        df.select(F.concat(F.lit("["), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}), F.lit("]")).alias("value")).write.text(path)
+        return read(st.spark, path).select(*columns)
 
-def chunks(spark: SparkSession, sf: str) -> DataFrame:
-    return K.noun_chunks(gated(spark, sf))
+    return held(run)
+
+
+def sunk(make, *columns: str) -> Callable:  # noqa: ANN001
+    """A step's table as a sink of step files writes it, read again; columns as SQL."""
+
+    def run(st: Steps) -> DataFrame:
+        df, path = make(st), st.space.folder("step")
+        writers.write_step(df, path)
+        back = st.spark.read.schema(df.schema).json(path)
+        return back.selectExpr("coalesce(doc_id, '') as doc_id", *columns)
+
+    return held(run)
+
+
+def markdown_files(st: Steps) -> DataFrame:
+    """A text folder a slide, read again file by file."""
+    path = st.space.folder("slides")
+    writers.write_markdown(slides(st.spark, st.sf).withColumn("doc_id", F.coalesce(F.nullif("doc_id", F.lit("")), F.lit("none"))), path)
+    back = st.spark.read.schema("value string, doc_id string, slide_id string").text(path, wholetext=True)
+    return back.select("doc_id", "slide_id", "value")
 
 
 def scored_vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -305,19 +399,14 @@ def scored_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return v.join(first, "label").select("vec_id", F.round(cosine(F.col("v"), F.col("f")), 4).alias("score"))
 
 
-def fallback_phrases(spark: SparkSession, sf: str) -> DataFrame:
-    """Poor slides get the splitter's chunks in place of a model's phrases."""
-    offered = chunks(spark, sf).select(*B.KEY, F.col("chunk").alias("phrase"), "ord")
-    best = K.best_scores(recognized(spark, sf))
-    return K.with_fallback(best, gated(spark, sf), offered, settings=Settings(fallback_max_phrases=3)).select("doc_id", "page_number", "phrase", "score")
-
-
-def resolved_phrases(spark: SparkSession, sf: str) -> DataFrame:
-    """tr_resolve with each gram as a slide's only phrase pair: triples name stripped forms."""
-    g = grams(spark, sf).where("p like '%(%' and p not like '%|%'")
-    named = g.select(F.lit("d").alias("doc_id"), F.lit("s").alias("slide_id"), F.lit(1).alias("page_number"), F.col("p").alias("phrase"), F.dense_rank().over(Window.orderBy("p")).alias("rank"))
+def resolved_phrases(st: Steps) -> DataFrame:
+    """tr_resolve with strings as phrases of slides, one slide for all that begin alike: triples name stripped forms."""
+    g = st.strings.where("p <> ''")
+    slide = F.left("p", F.lit(2))
+    named = g.select(F.lit("d").alias("doc_id"), slide.alias("slide_id"), F.lit(1).alias("page_number"), F.col("p").alias("phrase"))
+    named = named.withColumn("rank", F.row_number().over(Window.partitionBy("slide_id").orderBy("phrase")))
     raw = named.select(*B.KEY, "rank", P.without_parens(F.lower("phrase")).alias("subject"), F.lit("zzz").alias("object"))
-    return TR.resolved(raw, named).select("rank", "subject")
+    return TR.resolved(raw, named).select("slide_id", "rank", "subject")
 
 
 def evidence_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -328,12 +417,12 @@ def evidence_rows(spark: SparkSession, sf: str) -> DataFrame:
     return e.where(TR.evidence_holds(cosine(F.col("v"), F.col("f")), F.col("fallback"), Settings(evidence_cosine=0.3, evidence_cosine_fallback=0.15))).select("vec_id")
 
 
-def paired(spark: SparkSession, sf: str) -> DataFrame:
+def paired(st: Steps) -> DataFrame:
     """Normalised triples with a reversed twin each, so that pairs repeat and synonyms meet."""
-    n = TR.normalized(raw_triples(spark, sf)).select(*B.KEY, "ord", "subject", "object", "confidence")
+    n = TR.normalized(st.triples.raw).select(*B.KEY, "ord", "subject", "object", "confidence")
     back = n.select(*B.KEY, (F.col("ord") + 1000).alias("ord"), F.col("object").alias("subject"), F.concat("subject", F.lit(" of it")).alias("object"), "confidence")
     again = n.select(*B.KEY, (F.col("ord") + 2000).alias("ord"), "subject", "object", (F.col("confidence") + F.lit(0.01) * (F.col("ord") % 3 - 1)).alias("confidence"))
-    return n.unionByName(back).unionByName(again).where("subject <> object")
+    return st.space.table(n.unionByName(back).unionByName(again).where("subject <> object"), "paired")
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,33 +2,76 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: str | None = None
+#: Bytes of an Arrow batch: rows with long texts otherwise come 64 MB at a time, in the JVM and in each worker.
+BATCH = "4m"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one of our own only where it is unset (local tests)."""
+    """The folder named in spark.checkpoint.dir. Where it's unset, one of our own in local mode, and an error on a
+    cluster, whose machines would each write to a disk of their own."""
     global _own
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if _own is None:
         _own = tempfile.mkdtemp(prefix="lectern-")
     return f"file://{_own}"
 
 
+def _top(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/lectern/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/lectern/{tag}-{uuid.uuid4().hex}"
+    return f"{_top(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete all tables of this application, results included: for its end."""
+    delete(spark, _top(spark))
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, unless the session has a bound of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, BATCH)
+
+
+@contextmanager
+def _shuffles_end_with_their_query(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go when the query that made them ends: the table that it wrote takes their place."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.getAll.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def _write(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    small_batches(spark)
+    with _shuffles_end_with_their_query(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -37,28 +80,35 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 
 class Workspace:
-    """The tables of one operator. `finish` writes its result and drops the tables before it, with what finished jobs
-    left in shuffle files, so that a chain of operators holds one operator's tables at a time."""
+    """The tables of one operator, used in a `with` block, at whose end they go, whether it failed or not. `finish`
+    writes the operator's result, which stays."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
 
-    def table(self, df: DataFrame, tag: str) -> DataFrame:
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        while self.paths:
+            delete(self.spark, self.paths.popitem()[1][0])
+
+    def folder(self, tag: str) -> str:
+        """A path for files of the operator's own."""
         path = fresh_path(self.spark, tag)
+        self.paths[path] = (path, None)
+        return path
+
+    def table(self, df: DataFrame, tag: str) -> DataFrame:
+        path = self.folder(tag)
         out = _write(df, path)
-        self.paths[id(out)] = (path, out)
+        self.paths[id(out)] = (self.paths.pop(path)[0], out)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
-        jvm = self.spark._jvm
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(t))[0])
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            delete(self.spark, self.paths.pop(id(t))[0])
 
     def finish(self, df: DataFrame, tag: str) -> DataFrame:
-        out = materialize(df, tag)
-        self.drop(*[t for _, t in list(self.paths.values())])
-        gc.collect()
-        self.spark._jvm.System.gc()
-        return out
+        return materialize(df, tag)

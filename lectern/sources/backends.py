@@ -24,7 +24,7 @@ def hashed_bag(texts: list[str]) -> list[list[float]]:
     for text in texts:
         v = [0.0] * DIM
         for w in text.lower().split():
-            h = hashlib.blake2b(w.encode(), digest_size=8).digest()
+            h = hashlib.sha256(w.encode()).digest()
             v[h[0] % DIM] += 1.0 if h[1] & 1 else -1.0
         out.append(v)
     return out

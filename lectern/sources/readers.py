@@ -19,15 +19,18 @@ def stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/\\]+?)(?:\.[^./\\]*)?$", 1)
 
 
-def parsed_json(spark: SparkSession, path: str, doc_id: str | None = None) -> DataFrame:
-    """SlideMarkdown from JSON arrays; doc_id is the caller's, else the file's stem. Unknown keys are ignored."""
-    df = spark.read.schema(SLIDE_MARKDOWN).option("multiLine", True).json(path)
+def parsed_json(spark: SparkSession, path: str, doc_id: str | None = None, lines: bool = False) -> DataFrame:
+    """SlideMarkdown from JSON arrays; doc_id is the caller's, else the file's stem. Unknown keys are ignored.
+
+    lines: an array a line, which Spark can split into tasks; else an array a file.
+    """
+    df = spark.read.schema(SLIDE_MARKDOWN).option("multiLine", not lines).json(path)
     return df.withColumn("doc_id", F.lit(doc_id) if doc_id is not None else stem(F.input_file_name()))
 
 
-def preprocessed_json(spark: SparkSession, path: str, doc_id: str | None = None) -> DataFrame:
-    """SlideContent from JSON arrays of buckets, repaired."""
-    df = spark.read.schema(SLIDE_CONTENT).option("multiLine", True).json(path)
+def preprocessed_json(spark: SparkSession, path: str, doc_id: str | None = None, lines: bool = False) -> DataFrame:
+    """SlideContent from JSON arrays of buckets, repaired. lines as in parsed_json."""
+    df = spark.read.schema(SLIDE_CONTENT).option("multiLine", not lines).json(path)
     return repair(df.withColumn("doc_id", F.lit(doc_id) if doc_id is not None else stem(F.input_file_name())))
 
 
@@ -66,12 +69,18 @@ def read_pdf(spark: SparkSession, path: str, parser: Parser = plain_parser, cach
     return pages.select(F.format_string("slide_%03d", "page_number").alias("slide_id"), "page_number", "raw_markdown", "doc_id")
 
 
+HTML_SKIPPED = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->"
+HTML_LEADS = (("h[1-6]", "# "), ("li", "- "), ("footer", "> "), ("p", ""), ("blockquote", "> "))
+HTML_BREAKS = r"(?i)<br\s*/?>|</(p|li|h[1-6]|footer|div|tr)\s*>"
+HTML_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&amp;", "&"))
+
+
 def html_markdown(html: Column) -> Column:
     """Headings, list items, paragraphs and footers of an HTML page as markdown lines; scripts, styles and comments out."""
-    t = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", "")
-    for tag, lead in (("h[1-6]", "# "), ("li", "- "), ("footer", "> "), ("p", ""), ("blockquote", "> ")):
+    t = F.regexp_replace(html, HTML_SKIPPED, "")
+    for tag, lead in HTML_LEADS:
         t = F.regexp_replace(t, rf"(?is)<{tag}\b[^>]*>", f"\n{lead}")
-    t = F.regexp_replace(F.regexp_replace(t, r"(?i)<br\s*/?>|</(p|li|h[1-6]|footer|div|tr)\s*>", "\n"), r"<[^>]*>", " ")
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&copy;", "©"), ("&amp;", "&")):
+    t = F.regexp_replace(F.regexp_replace(t, HTML_BREAKS, "\n"), r"<[^>]*>", " ")
+    for name, char in HTML_ENTITIES:
         t = F.replace(t, F.lit(name), F.lit(char))
     return strip(F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r" ?\n[ \n]*", "\n"))
