@@ -332,6 +332,9 @@ def _io() -> dict[str, str]:
 
 def oracle_sql() -> dict[str, str]:
     out = selects() | _io()
+    p = "doc_id, page_number"
+    kept = f"select {p}, count(*) as n, string_agg(concat_ws('>', subject, relation, object), '|' order by subject, relation, object) as triples from (select *, cast(replace(slide_id, 'slide_', '') as bigint) as page_number from ({out['edges']})) group by {p}"
+    out["snk_step4"] = f"select c.doc_id, c.page_number, coalesce(r.n, 0) as raw_count, coalesce(r.n, 0) as n_raw, coalesce(k.n, 0) as validated_count, k.triples as triples from content c left join (select {p}, count(*) as n from rawt group by {p}) r using ({p}) left join ({kept}) k using ({p})"
     out["snk_step2_stats"] = out["as_stats"].replace("slide_id, ", "")
     out["tr_llm"] = f"select doc_id, page_number, response from (select distinct {KEY} from phrases) left join responses using ({KEY})"
     return {k: _whole(v) for k, v in out.items()}

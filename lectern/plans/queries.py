@@ -109,6 +109,10 @@ class Steps:
     def chunks(self) -> DataFrame:
         return self.space.table(K.noun_chunks(self.gated), "chunks")
 
+    @cached_property
+    def raw(self) -> DataFrame:
+        return self.space.table(TR.parsed(responses(self.phrases)), "raw")
+
     @cached_property
     def triples(self) -> TR.Extracted:
         return TR.extract(self.content, self.phrases, lambda p: backends.replay(p, responses(self.phrases)), TEMPLATE, self.space)
@@ -116,7 +120,7 @@ class Steps:
     @cached_property
     def strings(self) -> DataFrame:
         """p: the distinct phrases, chunks and triple ends of all slides, and grams."""
-        ends = self.triples.raw.select(F.explode(F.array("subject", "object")).alias("p"))
+        ends = self.raw.select(F.explode(F.array("subject", "object")).alias("p"))
         found = self.recognized.select(F.col("phrase").alias("p")).unionByName(self.chunks.select(F.col("chunk").alias("p")))
         every = grams(self.spark, self.sf).unionByName(found).unionByName(ends).where("p is not null")
         return self.space.table(every.distinct(), "strings")
@@ -297,15 +301,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     # triples
     q["tr_prompt"] = held(lambda st: TR.prompts(st.phrases, st.content, TEMPLATE).select("doc_id", "page_number", "prompt"))
     q["tr_llm"] = held(lambda st: backends.replay(TR.prompts(st.phrases, st.content, TEMPLATE), responses(st.phrases)).select("doc_id", "page_number", "response"))
-    q["tr_parse"] = held(lambda st: st.triples.raw.select("doc_id", "page_number", "ord", "subject", "relation", "object", "evidence", "confidence"))
-    q["tr_normalize"] = held(lambda st: TR.normalized(st.triples.raw).select("doc_id", "page_number", "ord", "subject", "relation", "object", "evidence", "confidence"))
+    q["tr_parse"] = held(lambda st: st.raw.select("doc_id", "page_number", "ord", "subject", "relation", "object", "evidence", "confidence"))
+    q["tr_normalize"] = held(lambda st: TR.normalized(st.raw).select("doc_id", "page_number", "ord", "subject", "relation", "object", "evidence", "confidence"))
     q["tr_anchor_set"] = per_phrase("anchors", lambda c: F.array_join(F.array_sort(P.anchors(c)), "|"))
-    q["tr_anchor"] = held(lambda st: TR.anchored(TR.normalized(st.triples.raw), st.phrases).select("doc_id", "page_number", "ord", "subject", "object"))
+    q["tr_anchor"] = held(lambda st: TR.anchored(TR.normalized(st.raw), st.phrases).select("doc_id", "page_number", "ord", "subject", "object"))
     q["tr_label"] = per_phrase("ok", lambda c: P.structural_label(strip(F.lower(c))))
     q["tr_resolve"] = held(resolved_phrases)
     q["tr_evidence"] = evidence_rows
-    q["tr_similarity"] = held(lambda st: TR.similarities(st.triples.raw, st.content).select("doc_id", "page_number", "evidence", F.round("similarity", 9).alias("similarity")))
-    q["tr_confidence"] = held(lambda st: TR.confident(TR.normalized(st.triples.raw)).select("doc_id", "page_number", "ord", "confidence"))
+    q["tr_similarity"] = held(lambda st: TR.similarities(st.raw, st.content).select("doc_id", "page_number", "evidence", F.round("similarity", 9).alias("similarity")))
+    q["tr_confidence"] = held(lambda st: TR.confident(TR.normalized(st.raw)).select("doc_id", "page_number", "ord", "confidence"))
     q["tr_validate_all"] = held(lambda st: st.triples.passed.select("doc_id", "page_number", "ord", "subject", "relation", "object", "evidence", "confidence"))
     q["tr_pair_dedup"] = held(lambda st: TR.dedup_pairs(paired(st)).select("doc_id", "page_number", "subject", "object", "confidence", "ord", "place"))
     q["tr_synonym"] = held(lambda st: pairs_of_phrases(st.strings).select("p", "way", "o", P.synonyms(F.col("p"), F.col("o")).alias("same")))
@@ -316,7 +320,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q["src_settings"] = settings_rows
     q["src_pdf_text"] = lambda s, d: readers.pdf_pages(t(s, d, "documents").where("text is not null").select(F.concat(F.lit("decks/d"), "doc_id", F.lit(".pdf")).alias("path"), F.replace("text", F.lit(". "), F.lit(". \f")).cast("binary").alias("content")))
     q["src_parsed_json"] = json_round_trip(lambda st: slides(st.spark, st.sf).drop("lang"), lambda s, p: readers.parsed_json(s, p, "deck", lines=True), "slide_id", "page_number", "raw_markdown", "doc_id")
-    q["src_preprocessed_json"] = json_round_trip(lambda st: loaded(st.spark, st.sf).drop("doc_id"), lambda s, p: flat(readers.preprocessed_json(s, p, "deck", lines=True), "body_text", "bullets", "code_lines"), "slide_id", "page_number", "doc_id", "body_text", "bullets", "code_lines", "clean_text")
+    q["src_preprocessed_json"] = json_round_trip(lambda st: loaded(st.spark, st.sf).drop("doc_id"), lambda s, p: flat(readers.preprocessed_json(s, p, "deck", lines=True), "body_text", "bullets", "code_lines"), "slide_id", "page_number", "doc_id", "body_text", "n_body_text", "bullets", "n_bullets", "code_lines", "n_code_lines", "clean_text")
     q["snk_step1"] = sunk(lambda st: slides(st.spark, st.sf).drop("lang"), "slide_id", "page_number", "raw_markdown")
     q["snk_step2"] = sunk(lambda st: writers.step2_report(st.content).select(*B.KEY, "clean_text", "bullets", "stats"), "page_number", "clean_text", "array_join(bullets, '|') as bullets", "stats.n_headings", "stats.clean_text_len")
     q["snk_step4"] = sunk(lambda st: writers.step4_report(st.content, st.phrases, st.triples.raw, st.triples.kept), "page_number", "raw_count", "validated_count", "case when raw_triples is null then 0 else size(raw_triples) end as n_raw", "array_join(transform(triples, x -> concat_ws('>', x.subject, x.relation, x.object)), '|') as triples")
@@ -419,7 +423,7 @@ def evidence_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 def paired(st: Steps) -> DataFrame:
     """Normalised triples with a reversed twin each, so that pairs repeat and synonyms meet."""
-    n = TR.normalized(st.triples.raw).select(*B.KEY, "ord", "subject", "object", "confidence")
+    n = TR.normalized(st.raw).select(*B.KEY, "ord", "subject", "object", "confidence")
     back = n.select(*B.KEY, (F.col("ord") + 1000).alias("ord"), F.col("object").alias("subject"), F.concat("subject", F.lit(" of it")).alias("object"), "confidence")
     again = n.select(*B.KEY, (F.col("ord") + 2000).alias("ord"), "subject", "object", (F.col("confidence") + F.lit(0.01) * (F.col("ord") % 3 - 1)).alias("confidence"))
     return st.space.table(n.unionByName(back).unionByName(again).where("subject <> object"), "paired")
