@@ -1,10 +1,10 @@
 """Byte-level BPE encoding and decoding by tree concatenation.
 
-Texts are encoded whole. A stretch that the pre-tokenizer doesn't split and that is longer than `leaf` bytes is
-cut into halves down to leaves, the leaves are encoded in parallel, and neighbours are joined bottom up: a window
-of tokens around each join is encoded anew and grown until the tokens at both of its ends agree with what lies
-outside. Agreement is exact: a token sequence is BPE's own encoding of its bytes if and only if each adjacent pair
-encodes to itself, so only pairs at the window's ends need a look.
+A text of more than `leaf` characters is cut into halves down to leaves, wherever the cuts fall. Leaves are encoded in
+parallel, and neighbours are joined bottom up: a window around each join is encoded anew and grown until both sides
+agree with it. Agreement is exact. Outside of long pre-tokens it holds where the pre-tokenizer splits the text whatever
+else it holds; inside one, a token sequence is BPE's own encoding of its bytes if and only if each adjacent pair encodes
+to itself, so the pairs at the window's ends decide. Special tokens split a text before all that.
 
 Nulls and empty texts give no tokens. Special tokens written out in a text become their ids, as in the library.
 """
@@ -17,18 +17,37 @@ import re
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
+from itertools import pairwise
 
 import pyarrow as pa
-import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.batches import cut
+from lectern.plans.stage import small_batches
 
 #: Fixed value: the public pre-tokenizer pattern of byte-level BPE vocabularies of this family.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LEAF = 2048
+#: Characters on either side of a cut that a window starts with; characters that the pre-tokenizer looks ahead.
+WINDOW, LOOK = 32, 2
+BLANKS = " \t\n\r\x0b\x0c"
+MARKS = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")  # of ASCII, without the apostrophe, which may begin a contraction
+
+
+def splits(text: str, at: int) -> bool:
+    """Whether the pre-tokenizer splits text before `at`, whatever stands further off.
+
+    No pre-token goes on from a letter or digit to a blank or a mark, nor from a mark to a blank.
+    """
+    before, here = text[at - 1], text[at]
+    return (here in BLANKS or here in MARKS) and (before.isalnum() and before.isascii() or before.isalpha() or here in BLANKS and before in MARKS)
+
+
+def one_class(text: str) -> bool:
+    """All letters, all ASCII digits, all blanks or all marks: the inside of one pre-token."""
+    return text.isalpha() or (text.isascii() and (text.isdigit() or not text.strip(BLANKS) or MARKS.issuperset(text)))
 
 
 def _byte_letters() -> dict[str, int]:
@@ -46,11 +65,20 @@ class ByteBPE:
         special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         self.core = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        self.leaf, self.threads, self.pattern = leaf, threads, regex.compile(PATTERN)
+        self.leaf, self.threads = max(2, leaf), threads
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
         self.special_ids = special
-        self.long_run = re.compile(rf"\S{{{max(1, leaf // 4)}}}|\s{{{max(1, leaf // 4)}}}")
         self.names = [str(i) for i in range(self.core.n_vocab)]
+        self.size = [0] * self.core.n_vocab
+        for token, i in ranks.items():
+            self.size[i] = len(token)
+        self._pool: ThreadPoolExecutor | None = None
+
+    @property
+    def pool(self) -> ThreadPoolExecutor:
+        if self._pool is None:
+            self._pool = ThreadPoolExecutor(self.threads)
+        return self._pool
 
     def piece(self, data: bytes) -> list[int]:
         return self.core._encode_single_piece(data)
@@ -58,44 +86,81 @@ class ByteBPE:
     def pair_holds(self, a: int, b: int) -> bool:
         return self.piece(self.core.decode_bytes([a, b])) == [a, b]
 
-    def join(self, left: list[int], right: list[int]) -> list[int]:
-        """The encoding of the bytes of left and right together, for encodings of the two sides of one pre-token."""
-        if not left or not right:
-            return left + right
+    def back(self, left: list[int], n: int) -> int | None:
+        """Where the last n bytes of left begin, if a token begins there."""
+        at = len(left)
+        while n > 0:
+            at -= 1
+            n -= self.size[left[at]]
+        return at if n == 0 else None
+
+    def ahead(self, right: list[int], n: int) -> int | None:
+        """Where the first n bytes of right end, if a token ends there."""
+        at = 0
+        while n > 0:
+            n -= self.size[right[at]]
+            at += 1
+        return at if n == 0 else None
+
+    def inside(self, left: list[int], right: list[int], most_left: int, most_right: int) -> list[int] | None:
+        """The join of two sides of one pre-token: a window of tokens around it, grown until the pairs at both of its
+        ends hold. It stays within the given bytes on either side, all of that pre-token; None if it would leave them."""
         width = 1
-        while True:
-            a, b = max(0, len(left) - width), min(len(right), width)
+        while width < min(len(left), len(right)):
+            a, b = len(left) - width, width
+            if sum(self.size[i] for i in left[a - 1 :]) > most_left or sum(self.size[i] for i in right[: b + 1]) > most_right:
+                return None
             mid = self.piece(self.core.decode_bytes(left[a:] + right[:b]))
-            if (a == 0 or self.pair_holds(left[a - 1], mid[0])) and (b == len(right) or self.pair_holds(mid[-1], right[b])):
+            if self.pair_holds(left[a - 1], mid[0]) and self.pair_holds(mid[-1], right[b]):
                 return left[:a] + mid + right[b:]
             width *= 2
+        return None
 
-    def tree(self, data: bytes) -> list[int]:
-        """One long pre-token: leaves encoded in parallel, then joined pairwise up the tree."""
-        parts = [data]
-        while len(parts[0]) > self.leaf:
-            parts = [half for p in parts for half in (p[: len(p) // 2], p[len(p) // 2 :])]
-        with ThreadPoolExecutor(self.threads) as pool:
-            level = list(pool.map(self.piece, parts))
-            while len(level) > 1:
-                level = list(pool.map(lambda i: self.join(level[i], level[i + 1]), range(0, len(level), 2)))
-        return level[0]
+    def join(self, text: str, lo: int, cut: int, hi: int, left: list[int], right: list[int]) -> list[int]:
+        """The encoding of text[lo:hi] from those of text[lo:cut] and text[cut:hi].
 
-    def plain(self, text: str) -> list[int]:
-        """Pre-tokens one by one; needed only where a text holds a long unsplit stretch."""
-        out: list[int] = []
-        for m in self.pattern.finditer(text):
-            data = m.group().encode()
-            out += self.tree(data) if len(data) > self.leaf else self.piece(data)
-        return out
+        A window of text around the cut is encoded anew between the nearest places on both sides where the
+        pre-tokenizer splits whatever else the text holds; there both sides agree with the whole. Without such places
+        the window grows, to the ends of both sides at most. Within one long pre-token, where there are none, tokens
+        decide: a sequence of them is BPE's own if each adjacent pair encodes to itself.
+        """
+        width = WINDOW
+        while True:
+            a, b = max(lo, cut - width), min(hi, cut + width)
+            i = next((k for k in range(cut, a, -1) if splits(text, k)), lo if a == lo else None)
+            j = next((k for k in range(cut, b) if splits(text, k)), hi if b == hi else None)
+            if i is not None and j is not None:
+                x, y = self.back(left, len(text[i:cut].encode())), self.ahead(right, len(text[cut:j].encode()))
+                if x is not None and y is not None:
+                    return left[:x] + self.core.encode_ordinary(text[i:j]) + right[y:]
+            elif a - LOOK > lo and b + LOOK < hi and one_class(text[a - LOOK : b + LOOK]):
+                found = self.inside(left, right, len(text[a:cut].encode()), len(text[cut:b].encode()))
+                if found is not None:
+                    return found
+            if a == lo and b == hi:
+                return self.core.encode_ordinary(text[lo:hi])
+            width *= 2
+
+    def tree(self, text: str) -> list[int]:
+        """A text without special tokens: halved down to leaves, which are encoded in parallel, and joined up the tree."""
+        cuts = [0, len(text)]
+        while cuts[1] > self.leaf:
+            cuts = sorted({*cuts, *((a + b) // 2 for a, b in pairwise(cuts))})
+        level = list(self.pool.map(lambda r: self.core.encode_ordinary(text[r[0] : r[1]]), pairwise(cuts)))
+        while len(level) > 1:
+            joined = [self.join(text, cuts[k], cuts[k + 1], cuts[k + 2], level[k], level[k + 1]) for k in range(0, len(level) - 1, 2)]
+            odd = len(level) % 2
+            level = joined + level[-1:] * odd
+            cuts = cuts[::2] + cuts[-1:] * odd
+        return level[0]
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
-        if not self.long_run.search(text):
+        if len(text) <= self.leaf:
             return self.core.encode(text, allowed_special="all", disallowed_special=())
         parts = self.special.split(text) if self.special else [text]
-        return [i for p in parts if p for i in ([self.special_ids[p]] if p in self.special_ids else self.plain(p))]
+        return [i for p in parts if p for i in ([self.special_ids[p]] if p in self.special_ids else self.tree(p))]
 
     def decode(self, ids: list[int]) -> str:
         return self.core.decode_bytes(ids).decode("utf-8", errors="replace")
@@ -105,6 +170,9 @@ class ByteBPE:
         return ",".join([names[i] for i in ids])
 
 
+OUTPUTS = ("n_tokens", "ids_sha256", "decoded_sha256", "token_ids")
+
+
 @lru_cache(maxsize=4)
 def tokenizer(path: str, leaf: int = LEAF) -> ByteBPE:
     return ByteBPE(path, leaf)
@@ -119,10 +187,12 @@ def default_vocabulary() -> str:
 def encode_documents(docs: DataFrame, path: str | None = None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), leaf: int = LEAF, ids: bool = True, byte_budget: int = 1 << 20) -> DataFrame:
     """Columns `keep` with n_tokens, ids_sha256, decoded_sha256, and with `ids` the token ids themselves.
 
-    One narrow pass without a shuffle. Null and empty texts give no tokens; repeated rows give repeated results;
+    One narrow pass without a shuffle. A column to keep that is named like a result gives way to it. Null and empty texts give no tokens; repeated rows give repeated results;
     other columns of docs are not read.
     """
     where = path or default_vocabulary()
+    small_batches(docs.sparkSession)
+    keep = tuple(c for c in keep if c not in OUTPUTS)
     source = docs.select(*[F.col(c) for c in keep], F.col(text).alias("__text"))
     extra = ", token_ids array<int>" if ids else ""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])

@@ -45,3 +45,25 @@ def test_documents(spark, library):
     assert sorted(got, key=str) == sorted(want, key=str)
     assert sorted((r.text for r in decode_documents(out).select("text").collect())) == sorted((t or "" for _, t, _, _ in rows))
     assert encode_documents(docs.limit(0)).count() == 0
+
+
+def test_every_cut_of_mixed_texts(library):
+    """Leaves of many sizes put cuts inside words, blanks, contractions, code points and long unsplit stretches."""
+    random.seed(7)
+    parts = ["it's we're  they'll", " \n\n  ", "x1y2", "ﬁé", "日本語の文章。", "====", "--'s", "12345", " a", "'", "\u00a0\u2003", "\x1c\x85", "e\u0301", "zzzzzzzz" * 9, "ab" * 40, " " * 30, "0" * 50, "#" * 70]
+    for leaf in (2, 3, 7, 16, 50):
+        bpe = ByteBPE(default_vocabulary(), leaf)
+        for _ in range(150):
+            t = "".join(random.choice(parts) for _ in range(random.randrange(1, 14)))
+            assert bpe.encode(t) == library.encode(t, add_special_tokens=False).ids, (leaf, t)
+
+
+def test_long_stretches_join_without_encoding_them_anew(library):
+    bpe = ByteBPE(default_vocabulary(), 256)
+    for t in ("ACGTTGCA" * 9000, "".join(random.Random(3).choices("abcde", k=60_000)), " " * 50_000, "=-" * 30_000, "7" * 40_000):
+        assert bpe.encode(t) == library.encode(t, add_special_tokens=False).ids
+
+
+def test_kept_column_named_like_a_result(spark):
+    docs = spark.createDataFrame([(1, "a b", 9)], "doc_id long, text string, n_tokens int")
+    assert encode_documents(docs, keep=("doc_id", "n_tokens"), ids=False).collect()[0].n_tokens == 2
