@@ -168,7 +168,11 @@ def _open_pairs(space: Workspace, members: DataFrame, percent: int) -> DataFrame
 
 def near_duplicates(docs: DataFrame, percent: int = THRESHOLD, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each row of docs."""
-    space = Workspace(docs.sparkSession)
+    with Workspace(docs.sparkSession) as space:
+        return space.finish(_near_duplicates(space, docs, percent, width, bands, rows), "near")
+
+
+def _near_duplicates(space: Workspace, docs: DataFrame, percent: int, width: int, bands: int, rows: int) -> DataFrame:
     sketches = space.table(sketch(docs, width, bands, rows), "sketches")
     classes = sketches.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("id"), F.first("a").alias("a"), F.first("b").alias("b"))
     classes = space.table(classes, "classes")
@@ -197,7 +201,7 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD, width: int = WIDT
     parts = parts.join(second, "component", "left").select("h1", "h2", "n_shingles", F.coalesce("joined", "component").alias("component_id"))
     out = sketches.select("doc_id", "n_shingles", "h1", "h2").join(parts, ["h1", "h2", "n_shingles"], "left")
     component = F.coalesce("component_id", "doc_id")
-    return space.finish(out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")), "near")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def op8_minhash_tensored(spark, sf_dir: str) -> DataFrame:

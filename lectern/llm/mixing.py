@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.plans.stage import Workspace, materialize
+from lectern.plans.stage import Workspace
 
 #: Fixed value: the weights, repeated over the sources in order.
 WEIGHTS = (3, 1, 2)
@@ -110,8 +110,8 @@ def mix(docs: DataFrame, seed: int = 7, share: float = 1.5, most_epochs: float =
     Rows alike in both are numbered on either side, so each gets a draw of its own.
     """
     docs = docs.drop("size", "source_size", "target", "taken")
-    space = Workspace(docs.sparkSession)
-    drawn = space.finish(draw(space.table(measured(docs, seed), "measured"), seed, share, most_epochs, block, shard_words, most_shards), "drawn")
+    with Workspace(docs.sparkSession) as space:
+        drawn = space.finish(draw(space.table(measured(docs, seed), "measured"), seed, share, most_epochs, block, shard_words, most_shards), "drawn")
     key = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))
     one = F.struct("taken", "size", "source_size", "target")
     sets = drawn.groupBy(key.alias("__id"), F.col("dice").alias("__dice"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("__src")).agg(F.array_sort(F.collect_list(one)).alias("__draws"))
@@ -123,5 +123,6 @@ def mix(docs: DataFrame, seed: int = 7, share: float = 1.5, most_epochs: float =
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    narrow = materialize(measured(docs), "measured")
-    return draw(narrow).select("doc_id", "size", "source_size", "target", "taken")
+    with Workspace(spark) as space:
+        drawn = draw(space.table(measured(docs), "measured")).select("doc_id", "size", "source_size", "target", "taken")
+        return space.finish(drawn, "drawn")

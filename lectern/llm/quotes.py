@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.plans.stage import materialize
+from lectern.plans.stage import Workspace
 
 QUOTED = r"^[ \t]*>"
 MARKS = r"^((?:[ \t]*>)+)"
@@ -62,7 +62,7 @@ def said_lines(lines: Column) -> Column:
     return F.filter(F.transform(lines, normal), lambda x: x != "")
 
 
-def partly_quoted(quotes: DataFrame, said: DataFrame) -> DataFrame:
+def partly_quoted(space: Workspace, quotes: DataFrame, said: DataFrame) -> DataFrame:
     """conv_id, at, pos, level, turn, part: earlier messages whose own lines hold all lines of a passage, one after the other.
 
     Passages meet messages by their first two lines; the rows of the lines then decide, so no row holds more than a line.
@@ -73,7 +73,7 @@ def partly_quoted(quotes: DataFrame, said: DataFrame) -> DataFrame:
     own = said.join(many.select("conv_id").distinct(), "conv_id", "left_semi").withColumn("own", said_lines(F.col("own"))).where(F.size("own") > 1)
     own = own.select("conv_id", "turn", digest(F.array_join("own", "\n")).alias("mid"), "own").dropDuplicates(["conv_id", "turn", "mid"])
     rows = own.select("conv_id", "turn", "mid", F.posexplode(F.transform("own", lambda x, i: F.struct(digest(x).alias("line"), two(x, F.get("own", i + 1)).alias("both")))).alias("i", "x"))
-    rows = materialize(rows.select("conv_id", "turn", "mid", "i", "x.line", "x.both"), "own-lines")
+    rows = space.table(rows.select("conv_id", "turn", "mid", "i", "x.line", "x.both"), "own-lines")
     begin = many.select(*of, F.size("lines").alias("n"), two(F.get("lines", F.lit(0)), F.get("lines", F.lit(1))).alias("both"))
     begin = begin.join(rows.select("conv_id", "turn", "mid", F.col("i").alias("start"), "both"), ["conv_id", "both"]).where(F.col("turn") < F.col("at"))
     each = begin.join(many.select(*of, F.posexplode(F.transform("lines", digest)).alias("k", "line")), of).withColumn("i", F.col("start") + F.col("k"))
@@ -88,6 +88,11 @@ def link(messages: DataFrame, max_rounds: int = 40) -> DataFrame:
     Quotes are joined to originals by (conversation, hash), so a conversation with a third of all messages is dealt
     by its hashes. Depths by pointer jumping over linked messages only.
     """
+    with Workspace(messages.sparkSession) as space:
+        return space.finish(_link(space, messages, max_rounds), "linked")
+
+
+def _link(space: Workspace, messages: DataFrame, max_rounds: int) -> DataFrame:
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\r?\n", -1)
     m = messages.select("conv_id", "turn", "role", lines.alias("lines"))
     quoting = F.exists("lines", lambda x: x.rlike(QUOTED))
@@ -99,18 +104,18 @@ def link(messages: DataFrame, max_rounds: int = 40) -> DataFrame:
     origins = whole.unionByName(parts).where("body <> ''").groupBy("conv_id", digest(F.col("body")).alias("h"), "turn").agg(F.min("part").alias("part"))
     quotes = m.where("passages is not null and conv_id is not null and turn is not null").select("conv_id", F.col("turn").alias("at"), F.posexplode("passages").alias("pos", "p"))
     quotes = quotes.select("conv_id", "at", "pos", F.col("p.level").alias("level"), normal(F.col("p.text")).alias("body"), said_lines(F.col("p.lines")).alias("lines")).where("body <> ''").withColumn("h", digest(F.col("body"))).drop("body")
-    quotes = materialize(quotes, "passages")
+    quotes = space.table(quotes, "passages")
     best = F.max_by("turn", F.struct(-F.col("part"), "turn"))
     found = quotes.drop("lines").distinct().join(origins, ["conv_id", "h"]).where(F.col("turn") < F.col("at"))
-    found = found.select("conv_id", "at", "pos", "level", "turn", "part").unionByName(partly_quoted(quotes, said)).groupBy("conv_id", "at", "pos", "level").agg(best.alias("turn"))
-    found = materialize(found, "quotes")
+    found = found.select("conv_id", "at", "pos", "level", "turn", "part").unionByName(partly_quoted(space, quotes, said)).groupBy("conv_id", "at", "pos", "level").agg(best.alias("turn"))
+    found = space.table(found, "quotes")
     parents = found.groupBy("conv_id", "at").agg(F.max(F.when(F.col("level") == 1, F.col("turn"))).alias("parent_turn"), F.count(F.lit(1)).alias("n_linked"))
     # depth: hops to the first message that links nowhere
     hops = parents.where("parent_turn is not null").select("conv_id", F.col("at").alias("node"), F.col("parent_turn").alias("up"), F.lit(1).cast("bigint").alias("hops"))
     for _ in range(max_rounds):
         far = hops.select("conv_id", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("hops").alias("hops2"))
         step = hops.join(far, ["conv_id", "up"], "left").select("conv_id", "node", F.coalesce("up2", "up").alias("up"), (F.col("hops") + F.coalesce("hops2", F.lit(0))).alias("hops"), F.col("up2").isNotNull().alias("moved"))
-        step = materialize(step, "hops")
+        step = space.table(step, "hops")
         hops = step.drop("moved")
         if not step.where("moved").limit(1).count():
             break
