@@ -14,6 +14,7 @@ rows give repeated results. With no labelled row to learn from every text is `un
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,8 +27,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.llm.batches import cut
+from lectern.plans.stage import small_batches
 
 WORDS = regex.compile(r"\p{L}+")
+ROUGH = re.compile(r"[^\W\d_]+")  # the same and numbers that are no digits, but fast
 LONGEST_PIECE = 16
 UNSEEN = 1e-7
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -112,72 +115,120 @@ def _spans(grid: np.ndarray, lengths: np.ndarray, pieces: Pieces) -> Iterator[tu
                 yield start, end, rows, got
 
 
-def forward(words: list[str], probs: np.ndarray, pieces: Pieces) -> np.ndarray:
+def _scaled(x: np.ndarray, at: int, lo: int, hi: int, log: np.ndarray) -> None:
+    """Divide x[lo:hi] by x[at], for each word and language, and add its logarithm to log."""
+    scale = np.where(x[at] > 0, x[at], 1.0)
+    x[lo:hi] /= scale
+    log += np.log(scale)
+
+
+def _long(word: str, probs: np.ndarray, pieces: Pieces) -> np.ndarray:
+    """forward() of one word of any length: a ring of sums, and the pieces of a stretch of places at a time."""
+    n, width = len(word), LONGEST_PIECE
+    codes = np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+    ring = np.zeros((width, probs.shape[1]))  # ring[e % width]: the sum up to place e
+    ring[0] = 1.0
+    log = np.zeros(probs.shape[1])
+    for lo in range(0, n, 1 << 14):
+        ends = np.arange(lo + 1, min(n, lo + (1 << 14)) + 1)
+        found = np.full((len(ends), width), -1, np.int64)  # by length less one: the piece that ends there
+        for size in range(1, width + 1):
+            fits = ends >= size
+            h = np.zeros(int(fits.sum()), np.uint64)
+            for k in range(size):
+                h = (h + codes[ends[fits] - size + k]) * _MIX
+                h ^= h >> np.uint64(29)
+            got = pieces.find(h).astype(np.int64)
+            found[fits, size - 1] = got if size == 1 else np.where(got < len(pieces.pieces), got, -1)
+        for e, row in zip(ends.tolist(), found, strict=True):
+            sizes = np.flatnonzero(row >= 0)
+            total = (ring[(e - 1 - sizes) % width] * probs[row[sizes]]).sum(0)
+            total = np.where(total > 0, total, 1.0)
+            ring /= total
+            log += np.log(total)
+            ring[e % width] = 1.0
+    return log
+
+
+def forward(words: list[str], probs: np.ndarray, pieces: Pieces, wide: int = 48) -> np.ndarray:
     """log P(word | language), summed over all segmentations: one row a word, one column a language.
 
-    probs: one row a piece and a last one for letters without a piece. Scaled at every start, so long words don't
-    underflow. Words of over 2,000 letters are taken in stretches of that length.
+    probs: one row a piece and a last one for letters without a piece. Scaled at every place, so long words don't
+    underflow. Words of up to `wide` letters go side by side, longer ones alone, in memory that doesn't follow their length.
     """
-    if len(words) == 0:
-        return np.zeros((0, probs.shape[1]))
-    order = sorted(range(len(words)), key=lambda i: len(words[i]))
     out = np.zeros((len(words), probs.shape[1]))
+    order = sorted((i for i in range(len(words)) if len(words[i]) <= wide), key=lambda i: len(words[i]))
+    for i in range(len(words)):
+        if len(words[i]) > wide:
+            out[i] = _long(words[i], probs, pieces)
     for lo in range(0, len(order), 8192):
         part = order[lo : lo + 8192]
-        if len(words[part[-1]]) > 2000:
-            short = [i for i in part if len(words[i]) <= 2000]
-            for i in set(part) - set(short):
-                out[i] = forward([words[i][k : k + 2000] for k in range(0, len(words[i]), 2000)], probs, pieces).sum(0)
-            part = short
-            if not part:
-                continue
         grid, lengths = _grid([words[i] for i in part])
-        ring = np.zeros((grid.shape[1] + 1, len(part), probs.shape[1]))
-        ring[0] = 1.0
-        log = np.zeros(len(part))
-        now = -1
+        sums = np.zeros((grid.shape[1] + 1, len(part), probs.shape[1]))
+        sums[0] = 1.0
+        log = np.zeros((len(part), probs.shape[1]))
+        now, first = -1, 0
         for start, end, rows, got in _spans(grid, lengths, pieces):
             if start != now:
-                now = start
-                scale = ring[start].max(1)
-                scale[(lengths <= start) | (scale <= 0)] = 1.0
-                ring[start : start + LONGEST_PIECE + 1] /= scale[:, None]
-                log += np.where(lengths > start, np.log(scale), 0)
-            ring[end, rows] += ring[start, rows] * probs[got]
-        out[part] = np.log(np.maximum(ring[lengths, np.arange(len(part))], 1e-300)) + log[:, None]
+                now, first = start, int(np.searchsorted(lengths, start, side="right"))  # words sorted by length: those that go on
+                _scaled(sums[:, first:], start, start, min(start + LONGEST_PIECE, len(sums) - 1) + 1, log[first:])
+            sums[end, rows] += sums[start, rows] * probs[got]
+        out[part] = np.log(np.maximum(sums[lengths, np.arange(len(part))], 1e-300)) + log
     return out
 
 
+def expected(words: list[str], weight: np.ndarray, probs: np.ndarray, pieces: Pieces, cells: int = 1 << 17) -> np.ndarray:
+    """How often each piece is expected in each language, over all segmentations of words with weights (words, languages)."""
+    total = np.zeros_like(probs)
+    by_length: dict[int, list[int]] = {}
+    for i, w in enumerate(words):
+        by_length.setdefault(len(w), []).append(i)
+    for n, every in sorted(by_length.items()):
+        step = max(1, cells // (n + 1))
+        for lo in range(0, len(every), step):
+            part = every[lo : lo + step]
+            grid, lengths = _grid([words[i] for i in part])
+            spans = list(_spans(grid, lengths, pieces))
+            a, b = (np.zeros((n + 1, len(part), probs.shape[1])) for _ in range(2))
+            loga, logb = np.zeros_like(a), np.zeros_like(b)
+            a[0], b[n] = 1.0, 1.0
+            log, now = np.zeros_like(a[0]), -1
+            for start, end, rows, got in spans:
+                if start != now:
+                    now = start
+                    _scaled(a, start, start, min(start + LONGEST_PIECE, n) + 1, log)
+                    loga[start] = log
+                a[end, rows] += a[start, rows] * probs[got]
+            loga[n] = log
+            log, now = np.zeros_like(a[0]), n + 1
+            for start, end, rows, got in sorted(spans, key=lambda x: -x[1]):
+                while now > end:  # from the word's end down: scale what lies before the place
+                    now -= 1
+                    _scaled(b, now, max(0, now - LONGEST_PIECE), now + 1, log)
+                    logb[now] = log
+                b[start, rows] += probs[got] * b[end, rows]
+            whole = np.maximum(a[n], 1e-300)
+            for start, end, rows, got in spans:
+                factor = np.exp(np.minimum(loga[start, rows] + logb[end, rows] - loga[n, rows], 700))
+                share = a[start, rows] * probs[got] * b[end, rows] / whole[rows] * factor * weight[part][rows]
+                for k in range(probs.shape[1]):
+                    total[:, k] += np.bincount(got, share[:, k], len(total))
+    return total
+
+
 def fit(counts: list[Counter], pieces: Pieces, rounds: int = 2, smooth: float = 0.5) -> np.ndarray:
     """Piece probabilities of each language from word counts, by expectation maximisation over all segmentations."""
     words = sorted(set().union(*counts)) if counts else []
-    words = [w for w in words if len(w) <= 64]
     k, n = len(counts), len(pieces.pieces)
     weight = np.array([[c[w] for c in counts] for w in words], float).reshape(len(words), k)
     probs = np.full((n + 1, k), 1.0 / (n + 1))
     probs *= np.array([[0.25 ** min(len(p), 8)] for p in pieces.pieces] + [[UNSEEN]]) ** -0.5
     probs /= probs.sum(0)
     for _ in range(rounds):
-        got_sum = np.zeros_like(probs)
-        for lo in range(0, len(words), 8192):
-            grid, lengths = _grid(words[lo : lo + 8192])
-            spans = list(_spans(grid, lengths, pieces))
-            a = np.zeros((grid.shape[1] + 1, len(grid), k))
-            a[0] = 1.0
-            for start, end, rows, got in spans:
-                a[end, rows] += a[start, rows] * probs[got]
-            b = np.zeros_like(a)
-            b[lengths, np.arange(len(grid))] = 1.0
-            whole = np.maximum(a[lengths, np.arange(len(grid))], 1e-300)
-            for start, end, rows, got in reversed(spans):
-                b[start, rows] += probs[got] * b[end, rows]
-            for start, end, rows, got in spans:
-                share = a[start, rows] * probs[got] * b[end, rows] / whole[rows] * weight[lo : lo + 8192][rows]
-                for j in range(k):
-                    got_sum[:, j] += np.bincount(got, share[:, j], n + 1)
-        back = got_sum.sum(1, keepdims=True)
+        got = expected(words, weight, probs, pieces)
+        back = got.sum(1, keepdims=True)
         back = (back + 1e-3) / (back.sum() + 1e-3 * (n + 1))
-        probs = (got_sum + smooth * (n + 1) * 0.01 * back) / (got_sum.sum(0) + smooth * (n + 1) * 0.01)
+        probs = (got + smooth * (n + 1) * 0.01 * back) / (got.sum(0) + smooth * (n + 1) * 0.01)
     probs[n] = np.maximum(probs[n], UNSEEN)
     return probs
 
@@ -191,11 +242,10 @@ def train(docs: DataFrame, path: str | None = None, sample_docs: int = 120, samp
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held)
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = [r[0] for r in known.where("text is not null").select("doc_id", "lang").withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= sample_docs).select("doc_id").collect()]
+    ids = known.where("text is not null").select("doc_id", "lang").withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= sample_docs).select("doc_id").distinct()
     langs: dict[str, Counter] = {}
-    if ids:
-        for lang, text in known.where(F.col("doc_id").isin(ids)).select("lang", F.substring("text", 1, sample_chars)).collect():
-            langs.setdefault(lang, Counter()).update("▁" + w for w in WORDS.findall((text or "").lower()))
+    for lang, text in known.join(ids, "doc_id", "left_semi").select("lang", F.substring("text", 1, sample_chars)).collect():
+        langs.setdefault(lang, Counter()).update("▁" + w for w in WORDS.findall((text or "").lower()))
     names = sorted(langs)
     pieces = vocabulary(path or default_vocabulary())
     return names, fit([langs[x] for x in names], pieces).astype(np.float32).astype(float)
@@ -209,6 +259,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str | N
     names, probs = model
     where = path or default_vocabulary()
     docs = docs.drop("lang_pred", "score")
+    small_batches(docs.sparkSession)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "lang_pred string", "score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,20 +271,21 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str | N
             _WORKER[key] = ({}, np.zeros((cached_words * 2, k + 1)))
         at, table = _WORKER[key]
 
-        def learn(words: set[str]) -> None:
-            """Rows of the table for words as they stand in the text, from those of the letter runs in them."""
-            runs = {w: WORDS.findall(w.lower()) for w in words}
-            letters = sorted({r for v in runs.values() for r in v})
-            logs = forward(["▁" + r for r in letters], probs, pieces) if letters else np.zeros((0, k))
-            place = {r: i for i, r in enumerate(letters)}
-            for w, v in runs.items():
-                at[w] = i = len(at)
-                table[i, :k] = logs[[place[r] for r in v]].sum(0) if v else 0
-                table[i, k] = len(v)
+        def learn(words: list[str]) -> None:
+            """Rows of the table for words as ROUGH finds them, from those of the letter runs in them."""
+            runs = [[w] if w.isalpha() else WORDS.findall(w) for w in words]
+            logs = forward(["▁" + r for v in runs for r in v], probs, pieces)
+            many = np.fromiter(map(len, runs), np.int64, len(runs))
+            first, some = np.cumsum(many) - many, many > 0
+            rows = np.arange(len(at), len(at) + len(words))
+            table[rows] = 0
+            table[rows[some], :k] = np.add.reduceat(logs, first[some]) if some.any() else 0
+            table[rows, k] = many
+            at.update(zip(words, rows.tolist(), strict=True))
 
         for batch in batches:
             for part in cut(batch, text, byte_budget):
-                split = [(t or "").split() for t in part.column(text).to_pylist()]
+                split = [ROUGH.findall((t or "").lower()) for t in part.column(text).to_pylist()]
                 new = set().union(*split) - at.keys()
                 if len(at) + len(new) > cached_words:
                     at.clear()
@@ -242,7 +294,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str | N
                     table = np.zeros((len(new), k + 1))
                     _WORKER[key] = (at, table)
                 if names:
-                    learn(new)
+                    learn(list(new))
                 pred, score = [], []
                 for words in split:
                     got = table[np.fromiter(map(at.__getitem__, words), np.int64, len(words))].sum(0) if words and names else np.zeros(k + 1)

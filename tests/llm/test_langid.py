@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 
-from lectern.llm.langid import UNSEEN, default_vocabulary, forward, identify, train, vocabulary
+from lectern.llm.langid import LONGEST_PIECE, expected, UNSEEN, default_vocabulary, forward, identify, train, vocabulary
 
 
 def test_forward_sums_all_segmentations():
@@ -59,3 +59,32 @@ def test_learns_nothing_from_held_out_or_unlabelled(spark):
     assert model[0] == []
     assert {r.lang_pred for r in identify(docs, model).collect()} == {"und"}
     assert identify(docs.limit(0), model).count() == 0
+
+
+def test_long_words_and_expected_counts_by_brute_force():
+    """Words of any length are summed whole; the counts of one round are those over all listed segmentations."""
+    pieces = vocabulary(default_vocabulary())
+    rng = np.random.default_rng(0)
+    probs = rng.dirichlet(np.ones(len(pieces.pieces) + 1) * 0.1, 2).T + 1e-9
+    words = ["▁" + "abcdefghij" * 3, "▁" + "zusammen" * 20, "▁" + "été" * 700]
+    assert np.allclose(forward(words, probs, pieces, wide=10_000), forward(words, probs, pieces, wide=4))
+    place = {p: i for i, p in enumerate(pieces.pieces)}
+
+    def listed(word, done=()):
+        if not word:
+            yield done
+        for j in range(1, min(len(word), LONGEST_PIECE) + 1):
+            if word[:j] in place or j == 1:
+                yield from listed(word[j:], (*done, place.get(word[:j], len(place))))
+
+    words, weight = ["▁abc", "▁the", "▁中a", "▁x"], np.array([[1, 0], [2, 3], [1, 1], [0, 5]], float)
+    want = np.zeros_like(probs)
+    for w, many in zip(words, weight, strict=True):
+        ways = list(listed(w))
+        each = np.array([np.prod(probs[list(v)], axis=0) for v in ways])
+        for v, share in zip(ways, each / each.sum(0), strict=True):
+            np.add.at(want, list(v), share * many)
+    assert np.allclose(expected(words, weight, probs, pieces), want)
+    # a word too long for plain doubles: its pieces make up all its letters
+    got, sizes = expected(["▁" + "abc" * 400], np.ones((1, 2)), probs, pieces), np.array([*map(len, pieces.pieces), 1])
+    assert np.allclose((got * sizes[:, None]).sum(0), 1201)
