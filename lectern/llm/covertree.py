@@ -6,10 +6,11 @@ radii and the link distance.
 
 1. Equal vectors (128 bits of hash) become one class, combined on the map side, with a count: a vector that a third
    of all rows share is a row a task.
-2. The upper levels are built on the driver from a bounded sample (`sample` vectors at most). Their nodes, at most
-   `most_cells`, take the vectors nearest to them; a node with more than `block` vectors is dealt into blocks by hash.
-   Covering radii come from all vectors. The driver traverses the upper nodes against themselves, a bounded number of
-   pairs, and keeps pairs that the bound can't prune.
+2. The upper levels are built as tables. The vectors of one length are a cell; a cell with more than `block` vectors
+   gets a net of up to `fan` centres, more than half its radius apart, from a few hundred of its vectors, and each
+   vector goes to its nearest centre. Covering radii come from all vectors. After each level, pairs of cells are pruned
+   by their bounds, and only children of surviving pairs are paired. A cell that is too big but lies closer together
+   than a link is long isn't split: all its vectors link with each other.
 3. Each surviving pair of blocks is a task's row: trees are built below the two blocks and traversed against each other
    down to leaves, whose cosines are taken in single precision with a margin and then exactly in double precision.
 4. Tasks return link counts and a spanning forest of the links they found, never all pairs; forests are joined to
@@ -17,12 +18,13 @@ radii and the link distance.
 
 Vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of different
 lengths link with nothing. A null vec_id links with nothing. Rows of one vec_id count as vectors each.
-On data without clusters, no bound prunes in high dimension, and the work is that of all pairs of blocks.
+On data without clusters, no bound prunes in high dimension, and the work is that of all pairs of cells.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.plans.components import connected_components
-from lectern.plans.stage import materialize
+from lectern.plans.stage import Workspace
 
 COSINE, LEAF, FAN = 0.95, 128, 48
 SLACK = 1e-5  # on bounds, for rounding
@@ -142,8 +144,13 @@ def link_blocks(ids: np.ndarray, weights: np.ndarray, x: np.ndarray, split: int
     return ids, found.count, ids[roots] if len(rows) else ids
 
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = 4096, sample: int = 2048, most_cells: int = 256) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = 4096, sample: int = 256, fan: int = FAN) -> DataFrame:
     """vec_id, n_links, component_id, kept: a row for each row of vectors (vec_id, embedding)."""
+    with Workspace(vectors.sparkSession) as space:
+        return space.finish(_near_vectors(space, vectors, cosine, block, sample, fan), "near")
+
+
+def _near_vectors(space: Workspace, vectors: DataFrame, cosine: float, block: int, sample: int, fan: int) -> DataFrame:
     e = F.col("embedding")
     numbers = F.coalesce(e.isNotNull() & (F.size(e) > 0) & F.forall(e, lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False))) & F.exists(e, lambda v: v != 0), F.lit(False))
     single = isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType)
@@ -151,17 +158,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = 4096,
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.when(numbers & F.col("vec_id").isNotNull(), e).alias("embedding"))
     keyed = rows.withColumn("k1", F.xxhash64("embedding")).withColumn("k2", F.xxhash64(F.lit(17), "embedding"))
     classes = keyed.where("embedding is not null").groupBy("k1", "k2").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("c"), F.first("embedding").alias("v"))
-    classes = materialize(classes.withColumn("dim", F.size("v")), "vectors")
-
-    n = {r.dim: r.n for r in classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
-    outs = []
-    for dim, many in sorted(n.items()):
-        outs.append(_one_dimension(classes.where(F.col("dim") == dim), many, kind, cosine, block, sample, most_cells))
-    spark = vectors.sparkSession
-    links = spark.createDataFrame([], "id bigint, n bigint, root bigint")
-    for o in outs:
-        links = links.unionByName(o)
-    links = materialize(links, "links")
+    classes = space.table(classes, "vectors")
+    links = space.table(_links(space, classes.select("id", "c", "v"), kind, cosine, block, sample, fan), "links")
     counts = links.groupBy("id").agg(F.sum("n").alias("n"))
     parts = connected_components(links.where("id <> root").select("id", "root"), "id", "root")
     known = classes.select("k1", "k2", "id", "c").join(counts, "id", "left").join(parts.withColumnRenamed("node", "id"), "id", "left")
@@ -171,56 +169,171 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = 4096,
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
 
 
-def _one_dimension(classes: DataFrame, many: int, kind: type, cosine: float, block: int, sample: int, most_cells: int) -> DataFrame:
-    """(id, n, root): parts of link counts, and roots of spanning forests, over vectors of one length."""
-    spark = classes.sparkSession
-    cells = max(1, min(most_cells, many // block))
-    picked = classes.orderBy(F.xxhash64("k1", "k2"), "id").limit(sample).select("v").collect() if cells > 1 else classes.limit(1).select("v").collect()
-    points = np.array([r.v for r in picked], float)
-    points /= np.sqrt((points * points).sum(1))[:, None]
-    # upper levels: greedy nets with halving radii, until the next one has more nodes than cells
-    net, radius = points[:1], 2.0
-    while radius > 1e-3:
+def net_of(points: np.ndarray, radius: float, fan: int, least: float) -> np.ndarray:
+    """Centres of the next level: points more than half the radius apart, or a quarter and so on while they are one."""
+    while radius > least:
         radius /= 2
-        grown = net
-        for p in points:
-            if len(grown) >= cells:
+        net = points[:1]
+        for p in points[1:]:
+            if len(net) == fan:
                 break
-            if _distances(grown, p).min() > radius:
-                grown = np.vstack([grown, p])
-        net = grown
-        if len(net) >= cells:
-            break
+            if _distances(net, p).min() > radius:
+                net = np.vstack([net, p])
+        if len(net) > 1:
+            return net
+    return points[:1]
+
+
+def _unit(raw: list[bytes], kind: type) -> np.ndarray:
+    x = np.frombuffer(b"".join(raw), kind).astype(float).reshape(len(raw), -1)
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
+def _pack(classes: DataFrame, kind: type) -> DataFrame:
+    """(id, c, v as bytes, cell): all vectors of one length lie in one root cell."""
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = np.array(batch.column("v").flatten().to_numpy(zero_copy_only=False), kind).reshape(batch.num_rows, -1)
-            x = raw.astype(float)
-            x /= np.sqrt((x * x).sum(1))[:, None]
-            near = (x @ net.T).argmax(1) if len(x) else np.zeros(0, int)
-            d = np.sqrt(((x - net[near]) ** 2).sum(1))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("c"), pa.array(near.astype(np.int32)), pa.array(d), pa.array([r.tobytes() for r in raw], pa.binary())], ["id", "c", "cell", "d", "v"])
-
-    dealt = materialize(classes.select("id", "c", "v").mapInArrow(assign, "id bigint, c bigint, cell int, d double, v binary"), "cells")
-    sizes = {r.cell: (r.n, r.d) for r in dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("d")).collect()}
+            column = batch.column("v")
+            at, flat = column.offsets.to_numpy(), np.asarray(column.values.to_numpy(zero_copy_only=False), kind)
+            raw = [flat[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("c"), pa.array(raw, pa.binary()), pa.array([str(n) for n in np.diff(at)], pa.string())], ["id", "c", "v", "cell"])
+
+    return classes.mapInArrow(run, "id bigint, c bigint, v binary, cell string")
+
+
+def _nets(picked: DataFrame, kind: type, fan: int, least: float) -> DataFrame:
+    """(cell, net) of cells (cell, radius, points) that have more than one centre."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells, nets = [], []
+            for r in batch.to_pylist():
+                net = net_of(_unit(sorted(r["points"]), kind), r["radius"], fan, least)
+                if len(net) > 1:
+                    cells.append(r["cell"])
+                    nets.append([x.tobytes() for x in net])
+            yield pa.RecordBatch.from_arrays([pa.array(cells, pa.string()), pa.array(nets, pa.list_(pa.binary()))], ["cell", "net"])
+
+    return picked.mapInArrow(run, "cell string, net array<binary>")
+
+
+def _assign(dealt: DataFrame, nets: DataFrame, kind: type, deal: int) -> DataFrame:
+    """(id, c, v, cell, d): vectors of split cells in the cell of their nearest centre, at the distance d from it.
+
+    Vectors of a cell are dealt by hash, with a copy of the cell's net ahead of each share, so a cell with a third of
+    all vectors is many shares, and no vector's row carries the net.
+    """
+    shares = F.ceil(F.col("n") / deal).cast("int")
+    net = nets.select("cell", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"), F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("bigint").alias("c"), F.lit(None).cast("binary").alias("v"), "net")
+    rows = dealt.join(nets.select("cell", shares.alias("m")), "cell")
+    rows = rows.select("cell", F.pmod(F.xxhash64(F.lit(3), "id"), "m").cast("int").alias("share"), F.lit(1).alias("kind"), "id", "c", "v", F.lit(None).cast("array<binary>").alias("net"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres = np.zeros((0, 0))
+        for batch in batches:
+            cells, kinds, raw, net = (batch.column(c).to_pylist() for c in ("cell", "kind", "v", "net"))
+            found, far, at = [], [], 0
+            while at < len(cells):
+                if kinds[at] == 0:
+                    centres = np.stack([np.frombuffer(x, float) for x in net[at]])
+                    found.append(None)
+                    far.append(None)
+                    at += 1
+                    continue
+                stop = at
+                while stop < len(cells) and kinds[stop] == 1:
+                    stop += 1
+                x = _unit(raw[at:stop], kind)
+                near = (x @ centres.T).argmax(1)
+                found += [f"{c}.{k}" for c, k in zip(cells[at:stop], near.tolist(), strict=True)]
+                far += np.sqrt(((x - centres[near]) ** 2).sum(1)).tolist()
+                at = stop
+            out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "c", "v")), pa.array(found, pa.string()), pa.array(far, pa.float64())], ["id", "c", "v", "cell", "d"])
+            yield out.filter(out.column("cell").is_valid())
+
+    return net.unionByName(rows).repartition("cell", "share").sortWithinPartitions("cell", "share", "kind").mapInArrow(run, "id bigint, c bigint, v binary, cell string, d double")
+
+
+def surviving(pairs: DataFrame, frontier: DataFrame, reach: float) -> DataFrame:
+    """(a, b): the pairs of children of pairs that the bound on their centres' distance can't prune; a node is its own
+    partner once. Cells that weren't split are their own children."""
+    left = frontier.select(F.col("parent").alias("a"), F.col("cell").alias("x"), F.col("radius").alias("rx"), F.col("centre").alias("cx"))
+    right = frontier.select(F.col("parent").alias("b"), F.col("cell").alias("y"), F.col("radius").alias("ry"), F.col("centre").alias("cy"))
+    apart = F.sqrt(F.aggregate(F.zip_with("cx", "cy", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v))
+    both = pairs.join(left, "a").join(right, "b").where("a <> b or x <= y")
+    near = (F.col("x") == F.col("y")) | (apart <= F.col("rx") + F.col("ry") + reach + SLACK)
+    return both.where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def leaf_cells(space: Workspace, classes: DataFrame, kind: type, cosine: float, block: int, sample: int, fan: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(vectors with their leaf cell, leaf cells with n, radius and centre, pairs of leaf cells that may link).
+
+    Cells with more than `block` vectors are split by nets of half the radius, level by level, until they have fewer or
+    lie so close together that all of them link. On each level, pairs of cells are pruned before they are split further.
+    """
     reach = float(np.sqrt(2 - 2 * cosine))
-    near = [(a, b) for a in sizes for b in sizes if a <= b and (a == b or float(np.sqrt(((net[a] - net[b]) ** 2).sum())) <= sizes[a][1] + sizes[b][1] + reach + SLACK)]
-    ways = spark.createDataFrame([(int(c), int(-(-s[0] // block))) for c, s in sizes.items()], "cell int, m int")
-    pairs = spark.createDataFrame([(int(a), int(b)) for a, b in near], "cell int, other int")
-    # at most most_cells rows and most_cells^2 pairs: bounded, whatever the data
-    dealt = dealt.join(F.broadcast(ways), "cell").withColumn("part", F.pmod(F.xxhash64(F.lit(5), "id"), "m").cast("int"))
-    blocks = materialize(dealt.groupBy("cell", "part").agg(F.collect_list("id").alias("ids"), F.collect_list("c").alias("cs"), F.collect_list("v").alias("vs")), "blocks")
-    one = blocks.select("cell", "part").join(F.broadcast(pairs), "cell").join(F.broadcast(ways.select(F.col("cell").alias("other"), F.col("m").alias("m2"))), "other")
-    both = one.withColumn("part2", F.explode(F.sequence(F.lit(0), F.col("m2") - 1))).where("cell < other or part <= part2").select("cell", "part", "other", "part2")
-    left = blocks.select("cell", "part", F.struct("ids", "cs", "vs").alias("a"))
-    right = blocks.select(F.col("cell").alias("other"), F.col("part").alias("part2"), F.struct("ids", "cs", "vs").alias("b"))
-    own = (F.col("cell") == F.col("other")) & (F.col("part") == F.col("part2"))
-    joined = both.join(left, ["cell", "part"]).join(right, ["other", "part2"]).select("a", F.when(~own, F.col("b")).alias("b"))
+    least = reach / 2 - SLACK
+    dealt = space.table(_pack(classes, kind), "cells").withColumn("d", F.lit(2.0))
+    frontier = space.table(dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).select(F.col("cell").alias("parent"), "cell", "n", F.lit(2.0).alias("radius"), F.lit(None).cast("array<double>").alias("centre")), "roots")
+    pairs = frontier.select(F.col("cell").alias("a"), F.col("cell").alias("b"))
+    done = []
+    while True:
+        big = frontier.where((F.col("n") > block) & (F.col("radius") > least)).select("cell", "n", "radius")
+        # a few hundred vectors of each cell, by hash: bounded by its share of the draw, whatever its size
+        drawn = dealt.join(big, "cell").where(F.pmod(F.xxhash64(F.lit(11), "id", "cell"), F.lit(1 << 30)) < F.lit(float(1 << 30)) * 2 * sample / F.col("n"))
+        picked = drawn.groupBy("cell").agg(F.first("radius").alias("radius"), F.collect_list("v").alias("points"))
+        nets = space.table(_nets(picked, kind, fan, least).join(big.select("cell", "n"), "cell"), "nets")
+        if not nets.limit(1).count():
+            break
+        done.append(dealt.join(nets.select("cell"), "cell", "left_anti").select("id", "c", "v", "cell"))
+        dealt = space.table(_assign(dealt, nets, kind, 16 * block), "cells")
+        numbers = "transform(sequence(0, size(net) - 1), k -> struct(concat(cell, '.', k) as cell, net[k] as raw))"
+        centres = _doubles(nets.select(F.col("cell").alias("parent"), F.expr(f"inline({numbers})")))
+        sizes = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("radius"))
+        split = centres.join(sizes, "cell").select("parent", "cell", "n", "radius", "centre")
+        kept = frontier.join(nets.select("cell"), "cell", "left_anti").select(F.col("cell").alias("parent"), "cell", "n", "radius", "centre")
+        frontier = space.table(split.unionByName(kept), "frontier")
+        pairs = space.table(surviving(pairs, frontier, reach), "pairs")
+    done.append(dealt.select("id", "c", "v", "cell"))
+    return reduce(DataFrame.unionByName, done), frontier, pairs
+
+
+def _doubles(centres: DataFrame) -> DataFrame:
+    """centres (parent, cell, raw) with `centre`, an array, in place of its bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [np.frombuffer(x, float).tolist() for x in batch.column("raw").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("parent"), batch.column("cell"), pa.array(values, pa.list_(pa.float64()))], ["parent", "cell", "centre"])
+
+    return centres.select("parent", "cell", "raw").mapInArrow(run, "parent string, cell string, centre array<double>")
+
+
+def _links(space: Workspace, classes: DataFrame, kind: type, cosine: float, block: int, sample: int, fan: int) -> DataFrame:
+    """(id, n, root): parts of link counts, and roots of spanning forests."""
+    rows, cells, pairs = leaf_cells(space, classes, kind, cosine, block, sample, fan)
+    least = float(np.sqrt(2 - 2 * cosine)) / 2 - SLACK
+    # a cell that is still too big lies closer together than any link is long: all its vectors link, without a look
+    cells = cells.select("cell", F.ceil(F.col("n") / block).cast("int").alias("m"), ((F.col("n") > block) & (F.col("radius") <= least)).alias("dense"))
+    cells = space.table(cells, "leaves")
+    rows = rows.join(cells, "cell").withColumn("part", F.pmod(F.xxhash64(F.lit(5), "id"), "m").cast("int"))
+    rows = space.table(rows, "dealt")
+    dense = rows.where("dense")
+    whole = dense.groupBy("cell").agg(F.sum("c").alias("all"), F.min("id").alias("root"))
+    sure = dense.join(space.table(whole, "dense"), "cell").select("id", (F.col("all") - F.col("c")).alias("n"), "root")
+    blocks = space.table(rows.groupBy("cell", "part").agg(F.collect_list("id").alias("ids"), F.collect_list("c").alias("cs"), F.collect_list("v").alias("vs")), "blocks")
+    sides = pairs.join(cells.select(F.col("cell").alias("a"), F.col("m").alias("ma"), "dense"), "a").join(cells.select(F.col("cell").alias("b"), F.col("m").alias("mb")), "b").where("a <> b or not dense")
+    both = sides.withColumn("pa", F.explode(F.sequence(F.lit(0), F.col("ma") - 1))).withColumn("pb", F.explode(F.sequence(F.lit(0), F.col("mb") - 1))).where("a <> b or pa <= pb").select("a", "pa", "b", "pb")
+    left = blocks.select(F.col("cell").alias("a"), F.col("part").alias("pa"), F.struct("ids", "cs", "vs").alias("one"))
+    right = blocks.select(F.col("cell").alias("b"), F.col("part").alias("pb"), F.struct("ids", "cs", "vs").alias("two"))
+    own = (F.col("a") == F.col("b")) & (F.col("pa") == F.col("pb"))
+    joined = both.join(left, ["a", "pa"]).join(right, ["b", "pb"]).select("one", F.when(~own, F.col("two")).alias("two"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                sides = [batch.column(c)[k] for c in ("a", "b") if batch.column(c)[k].is_valid]
+                sides = [batch.column(c)[k] for c in ("one", "two") if batch.column(c)[k].is_valid]
                 ids = np.concatenate([np.array(s["ids"].values) for s in sides])
                 weights = np.concatenate([np.array(s["cs"].values) for s in sides])
                 x = np.frombuffer(b"".join(v for s in sides for v in s["vs"].values.to_pylist()), kind).astype(float).reshape(len(ids), -1)
@@ -228,7 +341,7 @@ def _one_dimension(classes: DataFrame, many: int, kind: type, cosine: float, blo
                 hit = counts > 0
                 yield pa.RecordBatch.from_arrays([pa.array(v[hit]) for v in (ids, counts, roots)], ["id", "n", "root"])
 
-    return joined.mapInArrow(run, "id bigint, n bigint, root bigint")
+    return joined.mapInArrow(run, "id bigint, n bigint, root bigint").unionByName(sure)
 
 
 def op1_cover_tree(spark, sf_dir: str) -> DataFrame:

@@ -3,7 +3,8 @@ import math
 import numpy as np
 import pytest
 
-from lectern.llm.covertree import build, near_vectors, traverse
+from lectern.llm.covertree import build, leaf_cells, near_vectors, traverse
+from lectern.plans.stage import Workspace
 
 
 def brute(rows, cosine=0.95):
@@ -50,11 +51,11 @@ def corpus(dim=12):
     return out
 
 
-@pytest.mark.parametrize("block,cells", [(4096, 256), (16, 4), (7, 30)])
-def test_links_by_brute_force(spark, block, cells):
+@pytest.mark.parametrize("block,fan", [(4096, 48), (16, 4), (7, 30)])
+def test_links_by_brute_force(spark, block, fan):
     rows = corpus()
     df = spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, cell int").repartition(3)
-    assert sorted(map(tuple, near_vectors(df, block=block, most_cells=cells, sample=64).collect()), key=str) == brute(rows)
+    assert sorted(map(tuple, near_vectors(df, block=block, fan=fan, sample=64).collect()), key=str) == brute(rows)
 
 
 def test_traversal_prunes_and_covers():
@@ -72,3 +73,29 @@ def test_traversal_prunes_and_covers():
 
 def test_empty_table(spark):
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_pairs_of_cells_grow_with_the_clusters(spark):
+    """On clustered data a cell has a few partners, whatever the number of clusters."""
+    def pairs_of(clusters):
+        rng = np.random.default_rng(9)
+        centres = rng.normal(size=(clusters, 24))
+        rows = [(i, 1, (c + rng.normal(size=24) * 0.02).tolist()) for i, c in enumerate(np.repeat(centres, 25, 0))]
+        df = spark.createDataFrame(rows, "id long, c long, v array<double>").repartition(3)
+        with Workspace(spark) as space:
+            found, cells, pairs = leaf_cells(space, df, np.float64, 0.95, 30, 64, 8)
+            assert found.count() == len(rows) and cells.agg({"n": "sum"}).first()[0] == len(rows)
+            assert cells.where("n > 30 and radius > 0.16").count() == 0
+            return pairs.count(), cells.count()
+
+    (few, some), (many, more) = pairs_of(24), pairs_of(96)
+    assert few <= 6 * some and many <= 6 * more, (few, some, many, more)
+
+
+def test_dense_cells_and_long_vectors(spark):
+    """Cells closer together than a link is long need no comparison; vectors of any length are a tree of their own."""
+    rng = np.random.default_rng(2)
+    rows = [(i, (np.ones(5) + rng.normal(size=5) * 0.005).tolist()) for i in range(60)] + [(100 + i, rng.normal(size=3000).tolist()) for i in range(12)]
+    rows += [(200, [x * 2 for x in rows[60][1]]), (201, [1.0]), (202, [-1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    assert sorted(map(tuple, near_vectors(df, block=8, fan=4, sample=16).collect()), key=str) == brute(rows)
