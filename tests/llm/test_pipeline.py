@@ -29,23 +29,13 @@ def corpus():
 
 def plain(rows):
     """Stages one to three by brute force."""
+    from test_pipeline_whole import plain_cut
+
     alive = [r for r in rows if r[1] and any(c.isalpha() for c in r[1])]
-    kept = {d for d, _, c, k in test_minhash.brute([(r[0], r[1]) for r in alive]) if k}
+    kept = {d for d, _, c, k in test_minhash.brute([(r[0], r[1]) for r in alive], 80) if k}
     alive = [r for r in alive if r[0] in kept]
-    texts = [r[1].encode() for r in alive]
-    from collections import Counter
-
-    count = Counter(t[i : i + 400] for t in texts for i in range(len(t) - 399))
-    out = []
-    for r, t in zip(alive, texts, strict=True):
-        gone = bytearray(len(t))
-        for i in range(len(t) - 399):
-            if count[t[i : i + 400]] > 1:
-                gone[i : i + 400] = b"\1" * 400
-        rest = bytes(b for b, g in zip(t, gone, strict=True) if not g).decode("utf-8", "ignore")
-        if rest.split():
-            out.append((r[0], rest, r[2], r[3], len(rest)))
-    return sorted(out)
+    cut = plain_cut([r[1] for r in alive])
+    return sorted((r[0], t, r[2], r[3], len(t)) for r, t in zip(alive, cut, strict=True) if t.split())
 
 
 def test_stages_by_brute_force(spark, tmp_path):

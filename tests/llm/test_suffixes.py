@@ -2,10 +2,11 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from lectern.llm.grouping import suffix_array
-from lectern.llm.suffixes import deduplicate
+from lectern.llm.suffixes import deduplicate, find_ranges, find_runs, stretched_ranges, stretched_runs
 
 
 def test_suffix_array_by_brute_force():
@@ -63,3 +64,29 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert deduplicate(docs).columns == ["doc_id", "lang", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"]
     assert deduplicate(docs).count() == 0
+
+
+def test_stretches_give_the_same_runs_and_ranges():
+    rng = np.random.default_rng(5)
+    for alphabet, n in ((2, 9000), (200, 9000), (1, 3000)):
+        raw = rng.integers(0, alphabet, n).astype(np.uint8)
+        raw[4000:4600] = raw[1000:1600] if n > 4600 else raw[:1][0]
+        want = find_runs(raw, np.array([0, n]))
+        got = stretched_runs(raw, np.array([0, n]), stretch=700)
+        assert all(np.array_equal(a, b) for a, b in zip(want, got, strict=True))
+        _, f, _, lo, hi, at = want
+        one = find_ranges(raw, f, lo, hi, at)
+        parts = list(stretched_ranges(raw, f, lo, hi, at, stretch=700))
+        key = lambda k1, k2, core, left, edges: sorted(zip(k1.tolist(), k2.tolist(), core.tolist(), left.tolist(), edges, strict=True))
+        assert sorted(x for p in parts for x in key(*p)) == key(*one)
+
+
+def test_clashing_columns_and_a_very_long_text(spark):
+    random.seed(2)
+    long = "".join(random.choice("abcdefghij ") for _ in range(1_300_000))
+    rows = [(1, long + "Q" + long[600_000:600_500]), (2, "short " + long[1_200_000:1_200_450]), (3, None)]
+    docs = spark.createDataFrame([(d, t, 7, 8, 9) for d, t in rows], "doc_id long, text string, kd int, kh int, intervals int")
+    got = {r.doc_id: r for r in deduplicate(docs).collect()}
+    assert [(r.kd, r.kh, r.intervals) for r in got.values()] == [(7, 8, 9)] * 3
+    assert (got[1].n_removed, got[1].n_spans, got[2].n_removed, got[2].n_spans) == (500 + 450 + 500, 3, 450, 1)
+    assert got[1].kept_text == (long[:600_000] + long[600_500:1_200_000] + long[1_200_450:] + "Q") and got[2].kept_text == "short " and got[3].kept_text is None

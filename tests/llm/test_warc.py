@@ -74,3 +74,22 @@ def test_pages_round_trip(spark, zip64, least):
 def test_empty_table(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert read_records(locate(write_packages(typed_pages(pages), fresh_path(spark, "t")))).count() == 0
+
+
+def test_several_members_and_a_failed_write(spark, tmp_path):
+    """A foreign package with two archives and two indexes; and a write that fails leaves no package behind."""
+    import gzip
+    import json
+
+    members = []
+    for k, ids in enumerate(((1, 2), (3,))):
+        raws = [gzip.compress(warc_record(i, f"http://h/{i}", b"p%d" % i, None)) for i in ids]
+        lines = [json.dumps({"offset": str(sum(map(len, raws[:n]))), "length": str(len(r)), "filename": f"d{k}.warc.gz"}) for n, r in enumerate(raws)]
+        members += [(f"archive/d{k}.warc.gz", b"".join(raws)), (f"indexes/i{k}.cdxj", "".join(f"com,h)/ 2024 {x}\n" for x in lines).encode())]
+    (tmp_path / "foreign.wacz").write_bytes(package(members))
+    paths = spark.createDataFrame([(f"file://{tmp_path}/foreign.wacz",)], "path string")
+    assert sorted((r.page_id, bytes(r.payload)) for r in read_records(locate(paths)).collect()) == [(1, b"p1"), (2, b"p2"), (3, b"p3")]
+    rows = spark.range(40).selectExpr("id as page_id", "'u' as url", "if(id = 39, cast(raise_error('lost') as string), repeat('x', 500)) as html", "cast(null as bigint) as refers_to").coalesce(1)
+    with pytest.raises(Exception, match="lost"):
+        write_packages(rows, f"file://{tmp_path}/out")
+    assert not list(tmp_path.glob("out/*.wacz"))
