@@ -34,7 +34,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.batches import cut, text_bytes
@@ -42,6 +42,8 @@ from lectern.llm.grouping import suffix_array
 from lectern.plans.stage import Workspace
 
 WINDOW, GRAM, RANGE, HOT = 400, 48, 32, 4096
+#: Bytes of a long document taken at a time: what a worker holds doesn't follow the length of texts.
+STRETCH = 1 << 19
 CODE = 8
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -119,12 +121,31 @@ def find_runs(raw: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram:
     return doc, grams[at].view(np.int64), whole.view(np.int64), lo - base, hi - base, at - base
 
 
-def _runs(docs: DataFrame, window: int) -> DataFrame:
+def stretched_runs(raw: np.ndarray, offsets: np.ndarray, window: int = WINDOW, gram: int = GRAM, stretch: int = STRETCH) -> tuple[np.ndarray, ...]:
+    """find_runs, a stretch of a long document at a time: runs that start in the stretch, with enough of the bytes
+    around it that each is whole (a run has at most window - gram + 1 starts)."""
+    if len(raw) <= 2 * stretch or len(offsets) > 2:
+        return find_runs(raw, offsets, window, gram)
+    parts, n = [], len(raw)
+    for c in range(0, n, stretch):
+        a, b = max(0, c - window), min(n, c + stretch + 2 * window)
+        doc, f, h, lo, hi, at = find_runs(raw[a:b], np.array([0, b - a]), window, gram)
+        mine = (lo + a >= c) & (lo + a < c + stretch)
+        parts.append([x[mine] for x in (doc, f, h, lo + a, hi + a, at + a)])
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _bytes_of(text: str | None, coded: bool) -> bytes:
+    return word_codes(text).encode() if coded else (text or "").encode()
+
+
+def _runs(docs: DataFrame, window: int, coded: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in cut(batch, "text", 1 << 20):
-                raw, offsets = text_bytes(part.column("text"))
-                doc, f, h, lo, hi, at = find_runs(raw, offsets, window)
+            for part in cut(batch, "text", 1 << 19):
+                texts = part.column("text")
+                raw, offsets = text_bytes(pa.array([_bytes_of(t, True) for t in texts.to_pylist()], pa.large_binary()) if coded else texts)
+                doc, f, h, lo, hi, at = stretched_runs(raw, offsets, window)
                 i = pa.array(doc, pa.int64())
                 small = [pa.array(x.astype(np.int32)) for x in (lo, hi, at)]
                 yield pa.RecordBatch.from_arrays([part.column("kd").take(i), part.column("kh").take(i), pa.array(f), pa.array(h), *small], ["kd", "kh", "f", "h", "lo", "hi", "at"])
@@ -132,15 +153,14 @@ def _runs(docs: DataFrame, window: int) -> DataFrame:
     return docs.select("kd", "kh", "text").mapInArrow(run, "kd bigint, kh bigint, f bigint, h bigint, lo int, hi int, at int")
 
 
-def find_ranges(raw: np.ndarray, runs: list[dict], window: int = WINDOW, width: int = RANGE) -> tuple:
+def find_ranges(raw: np.ndarray, f: np.ndarray, lo: np.ndarray, hi: np.ndarray, at: np.ndarray, window: int = WINDOW, width: int = RANGE) -> tuple:
     """(core hashes k1, k2, start of the core, left edge's length, edges): the ranges of the runs of one document."""
     one, two = _powers(1), _powers(2)
     s1, s2 = one.sums(raw), two.sums(raw)
-    f = np.array([r["f"] for r in runs], np.int64).view(np.uint64)
-    at, lo, hi = (np.array([r[k] for r in runs], np.int64) for k in ("at", "lo", "hi"))
+    f = f.view(np.uint64)
     z0, z1 = (at - hi) // width, (at - lo) // width
     n = z1 - z0 + 1
-    i = np.repeat(np.arange(len(runs)), n)
+    i = np.repeat(np.arange(len(f)), n)
     z = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + z0[i]
     core = at[i] - z * width
     size = window - width + 1
@@ -152,20 +172,30 @@ def find_ranges(raw: np.ndarray, runs: list[dict], window: int = WINDOW, width:
     return k1.view(np.int64), k2.view(np.int64), core, left, edges
 
 
-def _ranges(picked: DataFrame, window: int, width: int) -> DataFrame:
+def stretched_ranges(raw: np.ndarray, f: np.ndarray, lo: np.ndarray, hi: np.ndarray, at: np.ndarray, window: int = WINDOW, width: int = RANGE, stretch: int = STRETCH) -> Iterator[tuple]:
+    """find_ranges, a stretch of a long document at a time."""
+    group = lo // stretch
+    for g in np.unique(group):
+        mine = group == g
+        a, b = max(0, int(lo[mine].min()) - 2 * width), min(len(raw), int(hi[mine].max()) + window + 2 * width)
+        k1, k2, core, left, edges = find_ranges(raw[a:b], f[mine], lo[mine] - a, hi[mine] - a, at[mine] - a, window, width)
+        yield k1, k2, core + a, left, edges
+
+
+def _ranges(picked: DataFrame, window: int, width: int, coded: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in cut(batch, "text", 1 << 19):
-                texts, runs, kd, kh = (part.column(c) for c in ("text", "runs", "kd", "kh"))
-                parts, where, edges = [], [], []
+                texts, kd, kh, runs = part.column("text"), part.column("kd"), part.column("kh"), part.column("runs")
+                at_ = runs.offsets.to_numpy()
+                fields = [x.to_numpy() for x in runs.values.flatten()]
+                f, lo, hi, at = fields[0], *(x.astype(np.int64) for x in fields[1:])
                 for i in range(part.num_rows):
-                    k1, k2, core, left, e = find_ranges(np.frombuffer(texts[i].as_py().encode(), np.uint8), runs[i].as_py(), window, width)
-                    parts.append((k1, k2, core, left))
-                    where.append(np.full(len(core), i))
-                    edges += e
-                k1, k2, core, left = (np.concatenate(x) for x in zip(*parts, strict=True))
-                i = pa.array(np.concatenate(where), pa.int64())
-                yield pa.RecordBatch.from_arrays([kd.take(i), kh.take(i), pa.array(k1), pa.array(k2), pa.array(core.astype(np.int32)), pa.array(left.astype(np.int32)), pa.array(edges, pa.binary())], ["kd", "kh", "k1", "k2", "core", "nl", "edges"])
+                    mine = slice(int(at_[i]), int(at_[i + 1]))
+                    raw = np.frombuffer(_bytes_of(texts[i].as_py(), coded), np.uint8)
+                    for k1, k2, core, left, edges in stretched_ranges(raw, f[mine], lo[mine], hi[mine], at[mine], window, width):
+                        same = pa.array(np.full(len(core), i))
+                        yield pa.RecordBatch.from_arrays([kd.take(same), kh.take(same), pa.array(k1), pa.array(k2), pa.array(core.astype(np.int32)), pa.array(left.astype(np.int32)), pa.array(edges, pa.binary())], ["kd", "kh", "k1", "k2", "core", "nl", "edges"])
 
     return picked.mapInArrow(run, "kd bigint, kh bigint, k1 bigint, k2 bigint, core int, nl int, edges binary")
 
@@ -228,31 +258,39 @@ def _masks(groups: DataFrame, width: int, most_symbols: int = 40_000) -> DataFra
     return groups.mapInArrow(run, "k1 bigint, k2 bigint, nl int, edges binary, mask bigint")
 
 
+def document_key() -> Column:
+    return F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """docs with the key of a document, (kd, kh): its doc_id and the hash of its text."""
-    return docs.withColumn("kd", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))).withColumn("kh", F.xxhash64("text"))
+    return docs.withColumn("kd", document_key()).withColumn("kh", F.xxhash64("text"))
+
+
+def repeated_intervals(docs: DataFrame, window: int = WINDOW, width: int = RANGE, hot: int = HOT, coded: bool = False) -> DataFrame:
+    """(kd, kh, intervals: set of (start, stop) bytes) of keyed documents that hold a repeated string. coded: over the
+    words' codes in place of the text."""
+    with Workspace(docs.sparkSession) as space:
+        return space.finish(_repeated_intervals(space, docs.select("kd", "kh", "text"), window, width, hot, coded), "intervals")
 
 
-def repeated_intervals(docs: DataFrame, window: int = WINDOW, width: int = RANGE, hot: int = HOT) -> DataFrame:
-    """(kd, kh, intervals: array of (start, stop) bytes) of keyed documents that hold a repeated string."""
-    space = Workspace(docs.sparkSession)
-    texts = docs.select("kd", "kh", "text")
-    runs = space.table(_runs(texts, window), "runs")
+def _repeated_intervals(space: Workspace, texts: DataFrame, window: int, width: int, hot: int, coded: bool) -> DataFrame:
+    runs = space.table(_runs(texts, window, coded), "runs")
     met = runs.groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("h0"), F.max("h").alias("h1")).where("n > 1").select("f", (F.col("h0") == F.col("h1")).alias("alike"))
-    # a table of its own: a join right on the aggregate could not split an anchor that many runs have
+    # tables of their own, here and below: a join right on the aggregate could not split a key that many rows have
     met = space.table(runs.join(space.table(met, "anchors"), "f"), "met")
+    space.drop(runs)
     classes = met.where("not alike").groupBy("f", "h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("kd", "kh", "lo", "hi", "at")).alias("r"))
     classes = space.table(classes, "classes")
-    space.drop(runs)
     whole = met.where("alike").select("kd", "kh", "lo", "hi").unionByName(met.where("not alike").join(classes.where("n > 1").select("f", "h"), ["f", "h"], "left_semi").select("kd", "kh", "lo", "hi"))
     whole = whole.select("kd", "kh", F.col("lo").alias("start"), (F.col("hi") + window).alias("stop"))
 
     picked = classes.select(F.col("r.kd").alias("kd"), F.col("r.kh").alias("kh"), F.struct("f", "r.lo", "r.hi", "r.at").alias("r")).groupBy("kd", "kh").agg(F.collect_list("r").alias("runs"))
-    ranges = space.table(_ranges(texts.join(picked, ["kd", "kh"]), window, width), "ranges")
+    ranges = space.table(_ranges(texts.join(picked, ["kd", "kh"]), window, width, coded), "ranges")
     edge_hash = F.xxhash64("edges", "nl")
     cores = ranges.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min(edge_hash).alias("e0"), F.max(edge_hash).alias("e1")).where("n > 1").select("k1", "k2", "n", (F.col("e0") == F.col("e1")).alias("alike"))
     cut_ = ranges
-    ranges = space.table(ranges.join(cores, ["k1", "k2"]), "cores")
+    ranges = space.table(ranges.join(space.table(cores, "cores"), ["k1", "k2"]), "shared")
     space.drop(cut_)
     nr = F.length("edges") - F.col("nl")
     # starts of strings in a range, as bytes before its core: from the least to the most that the text allows
@@ -260,20 +298,25 @@ def repeated_intervals(docs: DataFrame, window: int = WINDOW, width: int = RANGE
     every = ranges.where("alike").where(least <= most).select("kd", "kh", (F.col("core") - most).alias("start"), (F.col("core") - least + window).alias("stop"))
 
     open_ = ranges.where("not alike")
-    kinds = open_.groupBy("k1", "k2", "nl", "edges").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
+    kinds = space.table(open_.groupBy("k1", "k2", "nl", "edges").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n")), "kinds")
     copies = kinds.where("c > 1").where(least <= most).select("k1", "k2", "nl", "edges", F.expr(f"(shiftleft(1L, nl + 1) - shiftleft(1L, {width - 1} - (length(edges) - nl)))").alias("mask"))
     groups = kinds.where(F.col("n") <= hot).groupBy("k1", "k2").agg(F.collect_list(F.struct("nl", "edges")).alias("members")).where(F.size("members") > 1)
-    solved = _masks(groups, width)
+    # sorting costs far more than its bytes suggest, so its tasks aren't coalesced by them
+    solved = _masks(groups.repartition(int(space.spark.conf.get("spark.sql.shuffle.partitions"))), width)
     x = F.col("x")
     each = kinds.where(F.col("n") > hot).where(least <= most).withColumn("x", F.explode(F.sequence(least, most)))
     each = each.withColumn("own", F.expr(f"concat(substring(edges, nl - x + 1, x), substring(edges, nl + 1, {width - 1} - x))"))
     twice = each.groupBy("k1", "k2", "x", "own").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("k1", "k2", "x", "own")
-    dealt = each.join(twice, ["k1", "k2", "x", "own"], "left_semi").groupBy("k1", "k2", "nl", "edges").agg(F.bit_or(F.expr("shiftleft(1L, x)")).alias("mask"))
+    dealt = each.join(space.table(twice, "twice"), ["k1", "k2", "x", "own"], "left_semi").groupBy("k1", "k2", "nl", "edges").agg(F.bit_or(F.expr("shiftleft(1L, x)")).alias("mask"))
     masks = copies.unionByName(solved).unionByName(dealt).groupBy("k1", "k2", "nl", "edges").agg(F.bit_or("mask").alias("mask"))
-    bits = F.expr(f"filter(sequence(0, {width - 1}), i -> (mask & shiftleft(1L, i)) <> 0)")
-    some = open_.join(masks, ["k1", "k2", "nl", "edges"]).select("kd", "kh", "core", F.explode(bits).alias("x")).select("kd", "kh", (F.col("core") - x).alias("start"), (F.col("core") - x + window).alias("stop"))
-    found = whole.unionByName(every).unionByName(some).groupBy("kd", "kh").agg(F.collect_list(F.struct("start", "stop")).alias("intervals"))
-    return space.finish(found, "intervals")
+    masks = space.table(masks, "masks")
+    # neighbouring strings as one interval: from each bit whose upper neighbour is unset down to the next whose lower one is
+    tops = F.expr(f"filter(sequence(0, {width - 1}), i -> (mask & shiftleft(1L, i)) <> 0 and (mask & shiftleft(2L, i)) = 0)")
+    lows = F.expr(f"filter(sequence(0, {width - 1}), i -> (mask & shiftleft(1L, i)) <> 0 and (i = 0 or (mask & shiftleft(1L, i - 1)) = 0))")
+    spans = F.explode(F.arrays_zip(tops.alias("top"), lows.alias("low")))
+    some = open_.join(masks.select("k1", "k2", "nl", "edges", spans.alias("x")), ["k1", "k2", "nl", "edges"])
+    some = some.select("kd", "kh", (F.col("core") - x["top"]).alias("start"), (F.col("core") - x["low"] + window).alias("stop"))
+    return whole.unionByName(every).unionByName(some).groupBy("kd", "kh").agg(F.collect_set(F.struct("start", "stop")).alias("intervals"))
 
 
 def word_codes(text: str | None) -> str:
@@ -284,21 +327,29 @@ def word_codes(text: str | None) -> str:
 
 def repeated_word_intervals(docs: DataFrame, words: int, width: int = RANGE, hot: int = HOT) -> DataFrame:
     """(kd, kh, word_intervals: array of (start, stop) words) of keyed documents that hold a repeated string of `words` words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in cut(batch, "text", 1 << 20):
-                codes = [word_codes(t) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("kd"), part.column("kh"), pa.array(codes, pa.string())], ["kd", "kh", "text"])
-
-    coded = docs.select("kd", "kh", "text").mapInArrow(run, "kd bigint, kh bigint, text string")
-    found = repeated_intervals(coded, words * CODE, width, hot)
+    found = repeated_intervals(docs, words * CODE, width, hot, coded=True)
     # of the strings that start from start to stop - window, those that start with a word
     whole = F.expr(f"transform(intervals, i -> struct((i.start + {CODE - 1}) div {CODE} as start, (i.stop - {words * CODE}) div {CODE} + {words} as stop))")
     found = found.select("kd", "kh", F.filter(whole, lambda i: i["start"] + words <= i["stop"]).alias("word_intervals"))
     return found.where(F.size("word_intervals") > 0)
 
 
+def _bounds(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets of the rows, starts and stops of a column of intervals; null is empty."""
+    start, stop = column.values.flatten()
+    return column.offsets.to_numpy(), start.to_numpy(zero_copy_only=False).astype(np.int64), stop.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def merged(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The union of intervals, in order; those that touch are one."""
+    if not len(start):
+        return start, stop
+    order = np.argsort(start, kind="stable")
+    start, far = start[order], np.maximum.accumulate(stop[order])
+    new = np.flatnonzero(start[1:] > far[:-1]) + 1
+    return start[np.concatenate([[0], new])], far[np.concatenate([new - 1, [len(far) - 1]])]
+
+
 def deduplicate(docs: DataFrame, window: int = WINDOW, width: int = RANGE, hot: int = HOT, keep_text: bool = True, words: int | None = None) -> DataFrame:
     """docs (without text, and with kept_text if keep_text) with n_bytes, n_removed, n_spans and kept_sha256.
 
@@ -307,52 +358,49 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, width: int = RANGE, hot:
     blanks behind them.
     """
     extra = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept_text"] * keep_text]
-    docs = keyed(docs.drop(*extra))
-    found = repeated_intervals(docs, window, width, hot)
+    docs = docs.drop(*extra)
+    key = keyed(docs.select("doc_id", "text"))
+    found = repeated_intervals(key, window, width, hot)
     if words is None:
         found = found.withColumn("word_intervals", F.lit(None).cast("array<struct<start:bigint,stop:bigint>>"))
     else:
-        found = found.join(repeated_word_intervals(docs, words, width, hot), ["kd", "kh"], "full")
-    others = [c for c in docs.columns if c not in ("kd", "kh", "text")]
-    joined = docs.join(found, ["kd", "kh"], "left").select(*others, "text", "intervals", "word_intervals")
+        found = found.join(repeated_word_intervals(key, words, width, hot), ["kd", "kh"], "full")
+    others = [c for c in docs.columns if c != "text"]
+    found = found.select(F.col("kd").alias("__kd"), F.col("kh").alias("__kh"), F.col("intervals").alias("__bytes"), F.col("word_intervals").alias("__words"))
+    own = (document_key() == F.col("__kd")) & (F.xxhash64("text") == F.col("__kh"))
+    joined = docs.join(found, own, "left").select(*others, F.col("text").alias("__text"), "__bytes", "__words")
     kinds = {f.name: f.dataType.simpleString() for f in joined.schema.fields}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in others), "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", *["kept_text string"] * keep_text])
 
-    def one(text: str | None, intervals: list[dict] | None, word_intervals: list[dict] | None) -> tuple[int, int, int, bytes]:
-        data = (text or "").encode()
-        if not intervals and not word_intervals:
-            return len(data), 0, 0, data
-        found = [(i["start"], i["stop"]) for i in intervals or ()]
-        if word_intervals:
-            starts = [*(m.start() for m in WORD.finditer(data)), len(data)]
-            found += [(starts[i["start"]], starts[i["stop"]]) for i in word_intervals]
-        spans: list[list[int]] = []
-        for a, b in sorted(found):
-            if spans and a <= spans[-1][1]:
-                spans[-1][1] = max(spans[-1][1], b)
-            else:
-                spans.append([a, b])
-        left, at = [], 0
-        for a, b in spans:
-            left.append(data[at:a])
-            at = b
-        left.append(data[at:])
-        rest = b"".join(left)
-        return len(data), len(data) - len(rest), len(spans), rest
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in cut(batch, "text", 1 << 20):
-                rows = [one(*r) for r in zip(*(part.column(c).to_pylist() for c in ("text", "intervals", "word_intervals")), strict=True)]
-                cols = [part.column(i) for i in range(len(others))] + [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)]
-                cols.append(pa.array([hashlib.sha256(r[3]).hexdigest() for r in rows], pa.string()))
-                if keep_text:
-                    cols.append(pa.array([t if t is None or not r[1] else r[3].decode("utf-8", "ignore") for t, r in zip(part.column("text").to_pylist(), rows, strict=True)], pa.string()))
-                yield pa.RecordBatch.from_arrays(cols, [*others, *extra])
+            for part in cut(batch, "__text", 1 << 19):
+                bounds = [_bounds(part.column(c)) for c in ("__bytes", "__words")]
+                rows, texts = [], []
+                for i, text in enumerate(part.column("__text")):
+                    data = (text.as_py() or "").encode()
+                    (a, b), (c, d) = ((s[o[i] : o[i + 1]], e[o[i] : o[i + 1]]) for o, s, e in bounds)
+                    if len(c):
+                        places = np.array([*(m.start() for m in WORD.finditer(data)), len(data)])
+                        a, b = np.concatenate([a, places[c]]), np.concatenate([b, places[d]])
+                    a, b = merged(a, b)
+                    whole = text.as_py()
+                    if len(a):
+                        at = [0, *b.tolist()]
+                        data, n = b"".join([data[x:y] for x, y in zip(at, [*a.tolist(), len(data)], strict=True)]), len(data)
+                        whole = data.decode("utf-8", "ignore")
+                    else:
+                        n = len(data)
+                    rows.append((n, n - len(data), len(a), hashlib.sha256(data).hexdigest()))
+                    if keep_text:
+                        texts.append(whole)
+                cols = [part.column(i) for i in range(len(others))]
+                cols += [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([*cols, *[pa.array(texts, pa.string())] * keep_text], [*others, *extra])
 
     return joined.mapInArrow(run, schema)
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return deduplicate(docs, keep_text=False)
+    return deduplicate(docs).withColumnRenamed("kept_text", "text")
