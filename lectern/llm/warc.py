@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.batches import cut
-from lectern.llm.zipfiles import Package, package
-from lectern.plans.stage import fresh_path, materialize
+from lectern.llm.zipfiles import Package, stored
+from lectern.plans.stage import Workspace, materialize, small_batches
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 DATE = "2024-01-01T00:00:00Z"
@@ -90,8 +90,8 @@ def typed_pages(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return pages.join(revisits, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("sha") == F.col("s")), "left").select("page_id", "url", "html", F.col("first").alias("refers_to"))
 
 
-def write_packages(typed: DataFrame, folder: str, package_bytes: int = 16 << 20, zip64: bool = False) -> DataFrame:
-    """Write packages to folder (a URI of a store that executors share); (path, bytes, records) of each, materialised."""
+def write_packages(typed: DataFrame, folder: str, package_bytes: int = 8 << 20, zip64: bool = False, space: Workspace | None = None) -> DataFrame:
+    """Write packages to folder (a URI of a store that executors share); a table, in space if given, of (path, bytes, records)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = pyarrow.fs.FileSystem.from_uri(folder)
@@ -101,12 +101,14 @@ def write_packages(typed: DataFrame, folder: str, package_bytes: int = 16 << 20,
 
         def flush() -> pa.RecordBatch:
             name = uuid.uuid4().hex
-            data = package([(DATA, b"".join(held)), (INDEX, "".join(f"{k} {v}\n" for k, v in sorted(index)).encode())], zip64)
+            written = 0
             store.create_dir(top, recursive=True)
             with store.open_output_stream(f"{top}/.{name}.tmp") as f:
-                f.write(data)
+                for piece in stored([(DATA, held), (INDEX, ["".join(f"{k} {v}\n" for k, v in sorted(index)).encode()])], zip64):
+                    f.write(piece)
+                    written += len(piece)
             store.move(f"{top}/.{name}.tmp", f"{top}/{name}.wacz")
-            out = pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}.wacz"], "bytes": [len(data)], "records": [len(index)]})
+            out = pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}.wacz"], "bytes": [written], "records": [len(index)]})
             held.clear()
             index.clear()
             return out
@@ -125,7 +127,8 @@ def write_packages(typed: DataFrame, folder: str, package_bytes: int = 16 << 20,
         if held:
             yield flush()
 
-    return materialize(typed.select("page_id", "url", "html", "refers_to").mapInArrow(run, "path string, bytes bigint, records bigint"), "packages")
+    written = typed.select("page_id", "url", "html", "refers_to").mapInArrow(run, "path string, bytes bigint, records bigint")
+    return materialize(written, "packages") if space is None else space.table(written, "packages")
 
 
 def _open(path: str) -> tuple[pyarrow.fs.FileSystem, pa.NativeFile, int]:
@@ -134,7 +137,10 @@ def _open(path: str) -> tuple[pyarrow.fs.FileSystem, pa.NativeFile, int]:
 
 
 def locate(packages: DataFrame) -> DataFrame:
-    """(path, start, length) of every record, from the packages' directories and indexes alone."""
+    """(path, start, length) of every record, from the packages' directories and indexes alone.
+
+    Every index under indexes/ is read; a record lies in the member of archive/ that its line names.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,21 +148,25 @@ def locate(packages: DataFrame) -> DataFrame:
                 _, f, size = _open(path)
                 with f:
                     zipped = Package(lambda at, n, f=f: f.read_at(n, at), size)
-                    data = zipped.members[DATA]
-                    if data.method:
-                        raise ValueError(f"{path}: {DATA} isn't stored")
-                    base = zipped.start(data)
-                    lines = zipped.content(zipped.members[INDEX]).decode().splitlines()
-                spots = [json.loads(line.split(" ", 2)[2]) for line in lines]
+                    spots = []
+                    for name in sorted(x for x in zipped.members if x.startswith("indexes/") and x.endswith(".cdxj")):
+                        spots += [json.loads(line.split(" ", 2)[2]) for line in zipped.content(zipped.members[name]).decode().splitlines() if line]
+                    base = {}
+                    for name in {s["filename"] for s in spots}:
+                        data = zipped.members[f"archive/{name}"]
+                        if data.method:
+                            raise ValueError(f"{path}: {data.name} isn't stored")
+                        base[name] = zipped.start(data)
                 for i in range(0, len(spots), 10_000):
                     some = spots[i : i + 10_000]
-                    yield pa.RecordBatch.from_pydict({"path": [path] * len(some), "start": [base + s["offset"] for s in some], "length": [s["length"] for s in some]}, schema=pa.schema([("path", pa.string()), ("start", pa.int64()), ("length", pa.int64())]))
+                    yield pa.RecordBatch.from_pydict({"path": [path] * len(some), "start": [base[s["filename"]] + int(s["offset"]) for s in some], "length": [int(s["length"]) for s in some]}, schema=pa.schema([("path", pa.string()), ("start", pa.int64()), ("length", pa.int64())]))
 
     return packages.select("path").mapInArrow(run, "path string, start bigint, length bigint")
 
 
-def read_records(spots: DataFrame, payloads: bool = True) -> DataFrame:
-    """A row for each record, read by its range. Spots of one stretch of a package go to one task, in order."""
+def read_records(spots: DataFrame, payloads: bool = True, task_bytes: int = 32 << 20) -> DataFrame:
+    """A row for each record, read by its range. Spots of one stretch of a package go to one task, in order; there are
+    as many tasks as the records' bytes need, since the spots' own bytes say nothing of the work."""
     schema = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint" + ", payload binary" * payloads
     kinds = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), *[("payload", pa.binary())] * payloads])
 
@@ -184,10 +194,15 @@ def read_records(spots: DataFrame, payloads: bool = True) -> DataFrame:
             f.close()
 
     stretch = (F.col("start") / (4 << 20)).cast("bigint")
-    return spots.repartition("path", stretch).sortWithinPartitions("path", "start").mapInArrow(run, schema)
+    total = spots.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("n")).first().n
+    tasks = max(1, -(-total // task_bytes))
+    return spots.repartition(tasks, "path", stretch).sortWithinPartitions("path", "start").mapInArrow(run, schema)
 
 
 def op3_warc_packages(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    packages = write_packages(typed_pages(pages), fresh_path(spark, "warc"))
-    return read_records(locate(packages), payloads=False).drop("url")
+    small_batches(spark)
+    with Workspace(spark) as space:
+        packages = write_packages(typed_pages(pages), space.folder("warc"), space=space)
+        spots = space.table(locate(packages), "spots")
+        return space.finish(read_records(spots, payloads=False).drop("url"), "records")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 END, LOCATOR, END64, CENTRAL, LOCAL = b"PK\x05\x06", b"PK\x06\x07", b"PK\x06\x06", b"PK\x01\x02", b"PK\x03\x04"
@@ -25,26 +25,35 @@ class Member:
     header: int  # where the local header starts
 
 
-def package(members: list[tuple[str, bytes]], zip64: bool = False) -> bytes:
-    """The bytes of a package with stored members; ZIP64 fields where sizes need them, or everywhere on demand."""
-    out, directory, at = [], [], 0
-    for name, data in members:
-        raw, crc, big = name.encode(), zlib.crc32(data), zip64 or len(data) >= FULL32 or at >= FULL32
-        size = FULL32 if big else len(data)
-        extra = struct.pack("<HHQQ", 1, 16, len(data), len(data)) if big else b""
+def stored(members: list[tuple[str, list[bytes]]], zip64: bool = False) -> Iterator[bytes]:
+    """A package with stored members, piece by piece, so that no joined copy of it is made; ZIP64 fields where sizes
+    need them, or everywhere on demand. A member's data come in pieces."""
+    directory, at = [], 0
+    for name, pieces in members:
+        raw, length, crc = name.encode(), sum(map(len, pieces)), 0
+        for x in pieces:
+            crc = zlib.crc32(x, crc)
+        big = zip64 or length >= FULL32 or at >= FULL32
+        size = FULL32 if big else length
+        extra = struct.pack("<HHQQ", 1, 16, length, length) if big else b""
         local = struct.pack("<4sHHHHHIIIHH", LOCAL, 45 if big else 20, 0x800, 0, 0, 0x21, crc, size, size, len(raw), len(extra)) + raw + extra
-        more = struct.pack("<HHQQQ", 1, 24, len(data), len(data), at) if big else b""
+        more = struct.pack("<HHQQQ", 1, 24, length, length, at) if big else b""
         directory.append(struct.pack("<4sHHHHHHIIIHHHHHII", CENTRAL, 45, 45 if big else 20, 0x800, 0, 0, 0x21, crc, size, size, len(raw), len(more), 0, 0, 0, 0, FULL32 if big else at) + raw + more)
-        out += [local, data]
-        at += len(local) + len(data)
+        yield local
+        yield from pieces
+        at += len(local) + length
     table = b"".join(directory)
-    n, big = len(members), zip64 or at >= FULL32 or len(members) >= FULL16
+    n, big, whole = len(members), zip64 or at >= FULL32 or len(members) >= FULL16, len(table)
     if big:
-        table += struct.pack("<4sQHHIIQQQQ", END64, 44, 45, 45, 0, 0, n, n, len(table), at)
+        table += struct.pack("<4sQHHIIQQQQ", END64, 44, 45, 45, 0, 0, n, n, whole, at)
         table += struct.pack("<4sIQI", LOCATOR, 0, at + len(table) - 56, 1)
-    whole = sum(map(len, directory))
-    end = struct.pack("<4sHHHHIIH", END, 0, 0, FULL16 if big else n, FULL16 if big else n, FULL32 if big else whole, FULL32 if big else at, 0)
-    return b"".join([*out, table, end])
+    yield table
+    yield struct.pack("<4sHHHHIIH", END, 0, 0, FULL16 if big else n, FULL16 if big else n, FULL32 if big else whole, FULL32 if big else at, 0)
+
+
+def package(members: list[tuple[str, bytes]], zip64: bool = False) -> bytes:
+    """The bytes of a package with stored members."""
+    return b"".join(stored([(name, [data]) for name, data in members], zip64))
 
 
 class Package:
