@@ -237,14 +237,14 @@ def train(docs: DataFrame, path: str | None = None, sample_docs: int = 120, samp
     """(languages by code point, piece probabilities) from documents whose crc32(doc_id as text) mod 5 isn't 0.
 
     Two passes: the sample's ids from narrow columns (a rank limit that Spark applies before the shuffle), then their
-    texts. At most sample_docs rows of sample_chars characters a language reach the driver.
+    texts. At most sample_docs ids a language are broadcast, and as many rows of sample_chars characters reach the driver.
     """
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held)
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = known.where("text is not null").select("doc_id", "lang").withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= sample_docs).select("doc_id").distinct()
     langs: dict[str, Counter] = {}
-    for lang, text in known.join(ids, "doc_id", "left_semi").select("lang", F.substring("text", 1, sample_chars)).collect():
+    for lang, text in known.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", F.substring("text", 1, sample_chars)).collect():
         langs.setdefault(lang, Counter()).update("▁" + w for w in WORDS.findall((text or "").lower()))
     names = sorted(langs)
     pieces = vocabulary(path or default_vocabulary())
