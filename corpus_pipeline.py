@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import bpe, langid, minhash, mixing, suffixes
-from lectern.plans.stage import materialize
+from lectern.plans.stage import Workspace
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +40,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each time that the mix takes a document, or starts to take it."""
+    """A row for each time that the mix takes a document, or starts to take it.
+
+    A document of which it takes a part stays whole, so a source may exceed its target by less than a document a shard.
+    """
     mixed = mixing.mix(docs)
     times = F.ceil(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int")
     return mixed.where("taken > 0").withColumn("__time", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
@@ -58,9 +61,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of the mixed documents. Each stage's table goes once the next one is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    with Workspace(spark) as space:
+        for k, (name, stage) in enumerate(STAGES):
+            before, last = docs, k == len(STAGES) - 1
+            docs = (space.finish if last else space.table)(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            if k:
+                space.drop(before)
     return docs
 
 
