@@ -56,7 +56,8 @@ def templates(space: Workspace, nodes: DataFrame, least: int, share: float) -> D
     while True:
         t = t.withColumn("seg", F.get("segs", F.lit(level)))
         whole = t.where("seg is not null").groupBy("host", "node").agg(F.sum("n").alias("whole"))
-        t = space.table(t.join(whole, ["host", "node"], "left"), "level")
+        # a table: a join right on the aggregate could not split a host that many paths have
+        t = space.table(t.join(space.table(whole, "whole"), ["host", "node"], "left"), "level")
         more = F.col("seg").isNotNull() & (F.col("whole") >= least)
         end = F.when(F.col("seg").isNull(), F.lit(ENDS)).otherwise(F.lit(BELOW))
         closed.append(t.where(~more).withColumn("node", F.concat("node", end)).select(*nodes.columns, "node"))
