@@ -109,8 +109,9 @@ def best_scores(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("phrase", p).where(P.valid(F.col("phrase"))).groupBy(*KEY, "phrase").agg(F.max("score").alias("score"), F.min("ord").alias("ord"))
 
 
-def source_type(p: Column) -> Column:
-    held = lambda bucket: F.exists(bucket, lambda x: F.contains(F.lower(x), p))
+def source_type(p: Column, low: Callable[[Column], Column] = F.lower) -> Column:
+    """The first bucket that holds the phrase. low: what lower-cases a block, where that isn't done yet."""
+    held = lambda bucket: F.exists(bucket, lambda x: F.contains(low(x), p))
     return F.when(held("headings"), "heading").when(held("bullets"), "bullet").when(held("table_cells"), "table").when(held("captions"), "caption").otherwise("body")
 
 
@@ -119,10 +120,18 @@ def boosted(score: Column, source: Column, settings: Settings = Settings()) -> C
     return F.bround(F.when(source == "heading", up).otherwise(score), 4)
 
 
+def sentences(text: Column) -> Column:
+    """The sentences of a text, as structs of a sentence and its lower case."""
+    return F.transform(F.split(text, r"(?<=[.!?])\s+", -1), lambda s: F.struct(s.alias("s"), F.lower(s).alias("low")))
+
+
+def first_holding(p: Column, ends: Column, text: Column) -> Column:
+    """The first of the text's sentences that holds the phrase, else the first 200 characters."""
+    return F.coalesce(F.get(F.filter(ends, lambda e: F.contains(e["low"], p)), F.lit(0))["s"], F.left(text, F.lit(200)))
+
+
 def sentence_of(p: Column, text: Column) -> Column:
-    """The first sentence that holds the phrase, else the first 200 characters."""
-    ends = F.split(text, r"(?<=[.!?])\s+", -1)
-    return F.coalesce(F.get(F.filter(ends, lambda s: F.contains(F.lower(s), p)), F.lit(0)), F.left(text, F.lit(200)))
+    return first_holding(p, sentences(text), text)
 
 
 def top_candidates(scored: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -192,9 +201,12 @@ def top_phrases(phrases: DataFrame, n: int = 3) -> DataFrame:
 
 
 def place(phrases: DataFrame, slides: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """KEY, phrase, score, source_type, appears_in, ord; scores in headings boosted where settings are given."""
-    out = phrases.select(*KEY, "phrase", "score", "ord").join(slides.select(*KEY, *BUCKETS, "clean_text"), list(KEY))
-    out = out.withColumn("source_type", source_type(F.col("phrase"))).withColumn("appears_in", sentence_of(F.col("phrase"), F.col("clean_text")))
+    """KEY, phrase, score, source_type, appears_in, ord; scores in headings boosted where settings are given. Blocks are
+    lower-cased and texts cut into sentences once a slide, below the join, not once a phrase."""
+    lowered = [F.transform(b, F.lower).alias(b) for b in BUCKETS]
+    once = slides.select(*KEY, *lowered, F.left("clean_text", F.lit(200)).alias("clean_text"), sentences(F.col("clean_text")).alias("ends"))
+    out = phrases.select(*KEY, "phrase", "score", "ord").join(once, list(KEY))
+    out = out.withColumn("source_type", source_type(F.col("phrase"), lambda x: x)).withColumn("appears_in", first_holding(F.col("phrase"), F.col("ends"), F.col("clean_text")))
     score = F.col("score") if settings is None else boosted(F.col("score"), F.col("source_type"), settings)
     return out.select(*KEY, "phrase", score.alias("score"), "source_type", "appears_in", "ord")
 
@@ -206,7 +218,13 @@ def keyphrases(content: DataFrame, lexicon: DataFrame, settings: Settings = Sett
     their text to (KEY, phrase, ord); its phrases replace the slide's, with the fixed score and no boost.
     """
     gate = content.where(pedagogical()).withColumn("text", extraction_text(settings.profile))
-    placed = place(best_scores(recognize(gate, lexicon, settings=settings)), gate, settings)
+    return from_candidates(recognize(gate, lexicon, settings=settings), gate, settings, encode, offered)
+
+
+def from_candidates(candidates: DataFrame, gate: DataFrame, settings: Settings = Settings(), encode: Encoder | None = None, offered: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Step 3 from a recognizer's candidates on, for slides that passed the gate, with their text. Candidates that are a
+    table keep Spark from testing the validity of every n-gram below the recognizer's join."""
+    placed = place(best_scores(candidates), gate, settings)
     if encode is not None:
         placed = dedup_phrases(placed, embed(placed, "phrase", encode).select("phrase", "v"), settings)
     if offered is not None:

@@ -95,7 +95,7 @@ class Steps:
 
     @cached_property
     def phrases(self) -> DataFrame:
-        return self.space.table(K.keyphrases(self.content, lexicon(self.spark, self.sf)), "phrases")
+        return self.space.table(K.from_candidates(self.recognized, self.gated), "phrases")
 
     @cached_property
     def gated(self) -> DataFrame:
@@ -354,8 +354,8 @@ def chunk_phrases(chunks: DataFrame) -> DataFrame:
 
 def whole_step3(st: Steps) -> DataFrame:
     """Step 3 with its fallback on poor slides."""
-    lex, settings = lexicon(st.spark, st.sf), Settings(fallback_max_phrases=3)
-    found = K.keyphrases(st.content, lex, settings, offered=lambda poor: chunk_phrases(K.noun_chunks(poor)))
+    settings = Settings(fallback_max_phrases=3)
+    found = K.from_candidates(st.recognized, st.gated, settings, offered=lambda poor: chunk_phrases(K.noun_chunks(poor)))
     return found.select("doc_id", "page_number", "phrase", "score", "source_type", "appears_in", "rank")
 
 
