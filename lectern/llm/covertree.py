@@ -10,15 +10,19 @@ radii and the link distance.
    gets a net of up to `fan` centres, more than half its radius apart, from a few hundred of its vectors, and each
    vector goes to its nearest centre. Covering radii come from all vectors. After each level, pairs of cells are pruned
    by their bounds, and only children of surviving pairs are paired. A cell that is too big but lies closer together
-   than a link is long isn't split: all its vectors link with each other.
-3. Each surviving pair of blocks is a task's row: trees are built below the two blocks and traversed against each other
-   down to leaves, whose cosines are taken in single precision with a margin and then exactly in double precision.
-4. Tasks return link counts and a spanning forest of the links they found, never all pairs; forests are joined to
+   than a link is long isn't split: all its vectors link with each other. A cell may be several blocks, up to SIDE
+   bytes, and a net has no more centres than its cell needs, so cells and their pairs don't outnumber the data.
+3. Each surviving pair of cells is a tile: trees are grown below the two cells and traversed against each other down to
+   leaves, whose cosines are taken in single precision with a margin and then exactly in double precision.
+4. Tiles are worked off in turns. A turn's tiles hold about as many bytes as all vectors do, and its shuffle goes at its
+   end, so disk follows the input and not the number of pairs. Each level's table goes once the next one is written.
+5. Tasks return link counts and a spanning forest of the links they found, never all pairs; forests are joined to
    components.
 
 Vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of different
 lengths link with nothing. A null vec_id links with nothing. Rows of one vec_id count as vectors each.
-On data without clusters, no bound prunes in high dimension, and the work is that of all pairs of cells.
+On data without clusters, no bound prunes in high dimension, and the work is that of all pairs of cells: time grows
+with the square of the vectors there, and so do the bytes shuffled over all turns, divided by those of a cell.
 """
 
 from __future__ import annotations
@@ -37,6 +41,8 @@ from lectern.plans.stage import Workspace
 
 COSINE, LEAF, FAN = 0.95, 128, 48
 SLACK = 1e-5  # on bounds, for rounding
+#: Bytes of vectors of a tile's side, blocks of a side at most, and the least bytes of a turn of tiles.
+SIDE, SPREAD, TURN = 1 << 24, 16, 1 << 28
 
 
 class Node:
@@ -71,6 +77,23 @@ def build(unit: np.ndarray, rows: np.ndarray, scale: float = 2.0, leaf: int = LE
     return Node(center, radius, rows, [build(unit, p, half, leaf, fan) for p in parts])
 
 
+def grow(unit: np.ndarray, rows: np.ndarray, block: int, fan: int = FAN, depth: int = 0) -> Node:
+    """The tree over unit[rows] by nets and nearest centres, as cells are split. Below `block` rows a split stays only
+    where it draws the radii in; nodes that don't get any are built greedily."""
+    if len(rows) <= LEAF or depth > 40:
+        return build(unit, rows)
+    center = unit[rows[0]]
+    radius = float(_distances(unit[rows], center).max())
+    net = net_of(unit[rows[:: -(-len(rows) // 512)]], radius, fan, 1e-3)
+    near = (unit[rows] @ net.T).argmax(1)
+    parts = [rows[near == k] for k in np.unique(near)]
+    if len(parts) == 1:
+        return build(unit, rows)
+    if len(rows) <= block and sum(len(p) * float(_distances(unit[p], unit[p[0]]).max()) for p in parts) > 0.7 * radius * len(rows):
+        return build(unit, rows)
+    return Node(center, radius, rows, [grow(unit, p, block, fan, depth + 1) for p in parts])
+
+
 def traverse(a: Node, b: Node, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows of leaf pairs that the bounds don't prune; each unordered pair of nodes of one tree once."""
     todo = [(a, b)]
@@ -119,47 +142,52 @@ class _Links:
                     mine = lo
 
 
-def link_blocks(ids: np.ndarray, weights: np.ndarray, x: np.ndarray, split: int | None, cosine: float) -> tuple[np.ndarray, ...]:
-    """ids, counts, and roots over rows x (raw, double): links within all rows, or between those before and from `split` on."""
-    norm = np.sqrt((x * x).sum(1))
-    unit = x / norm[:, None]
-    single = unit.astype(np.float32)
+def link_blocks(ids: np.ndarray, weights: np.ndarray, x: np.ndarray, split: int | None, cosine: float, block: int = 4096) -> tuple[np.ndarray, ...]:
+    """ids, counts and roots of the rows of x (raw) that link: within all rows, or between those before and from `split` on."""
+    norm, single = np.empty(len(ids)), np.empty(x.shape, np.float32)
+    for lo in range(0, len(ids), 4096):
+        some = x[lo : lo + 4096].astype(float)
+        norm[lo : lo + 4096] = np.sqrt((some * some).sum(1))
+        single[lo : lo + 4096] = some / norm[lo : lo + 4096, None]
     reach = float(np.sqrt(2 - 2 * cosine))
     found = _Links(ids, weights)
     rows = np.arange(len(ids))
-    one = build(unit, rows[:split] if split else rows)
-    two = build(unit, rows[split:]) if split else one
+    one = grow(single, rows[:split] if split else rows, block)
+    two = grow(single, rows[split:], block) if split else one
     for p, q in traverse(one, two, reach):
+        other = single[q].T
         for lo in range(0, len(p), 512):
             pp = p[lo : lo + 512]
-            i, j = np.nonzero(single[pp] @ single[q].T >= cosine - 1e-4)
+            i, j = np.nonzero(single[pp] @ other >= cosine - 1e-4)
             i, j = pp[i], q[j]
             if p is q:
                 i, j = i[i < j], j[i < j]
             for k in range(0, len(i), 100_000):
                 a, b = i[k : k + 100_000], j[k : k + 100_000]
-                good = np.einsum("ij,ij->i", x[a], x[b]) / (norm[a] * norm[b]) >= cosine
+                good = np.einsum("ij,ij->i", x[a].astype(float), x[b].astype(float)) / (norm[a] * norm[b]) >= cosine
                 found.add(a[good], b[good])
-    roots = np.array([found.root(i) for i in rows], np.int64)
-    return ids, found.count, ids[roots] if len(rows) else ids
+    hit = np.flatnonzero(found.count)
+    return ids[hit], found.count[hit], ids[np.array([found.root(i) for i in hit.tolist()], np.int64)]
 
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = 4096, sample: int = 256, fan: int = FAN) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = 4096, sample: int = 256, fan: int = FAN, turn: int = TURN) -> DataFrame:
     """vec_id, n_links, component_id, kept: a row for each row of vectors (vec_id, embedding)."""
     with Workspace(vectors.sparkSession) as space:
-        return space.finish(_near_vectors(space, vectors, cosine, block, sample, fan), "near")
+        return space.finish(_near_vectors(space, vectors, cosine, block, sample, fan, turn), "near")
 
 
-def _near_vectors(space: Workspace, vectors: DataFrame, cosine: float, block: int, sample: int, fan: int) -> DataFrame:
+def _near_vectors(space: Workspace, vectors: DataFrame, cosine: float, block: int, sample: int, fan: int, turn: int) -> DataFrame:
     e = F.col("embedding")
     numbers = F.coalesce(e.isNotNull() & (F.size(e) > 0) & F.forall(e, lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False))) & F.exists(e, lambda v: v != 0), F.lit(False))
     single = isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType)
     kind = np.float32 if single else np.float64
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.when(numbers & F.col("vec_id").isNotNull(), e).alias("embedding"))
     keyed = rows.withColumn("k1", F.xxhash64("embedding")).withColumn("k2", F.xxhash64(F.lit(17), "embedding"))
-    classes = keyed.where("embedding is not null").groupBy("k1", "k2").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("c"), F.first("embedding").alias("v"))
-    classes = space.table(classes, "vectors")
-    links = space.table(_links(space, classes.select("id", "c", "v"), kind, cosine, block, sample, fan), "links")
+    classes = keyed.where("embedding is not null").groupBy("k1", "k2")
+    vectors_ = classes.agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("c"), F.first("embedding").alias("v"))
+    links = _links(space, vectors_.select("id", "c", "v"), kind, cosine, block, sample, fan, turn)
+    # once more without the vectors, of which a table less lies there
+    classes = space.table(classes.agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("c")), "classes")
     counts = links.groupBy("id").agg(F.sum("n").alias("n"))
     parts = connected_components(links.where("id <> root").select("id", "root"), "id", "root")
     known = classes.select("k1", "k2", "id", "c").join(counts, "id", "left").join(parts.withColumnRenamed("node", "id"), "id", "left")
@@ -203,13 +231,13 @@ def _pack(classes: DataFrame, kind: type) -> DataFrame:
 
 
 def _nets(picked: DataFrame, kind: type, fan: int, least: float) -> DataFrame:
-    """(cell, net) of cells (cell, radius, points) that have more than one centre."""
+    """(cell, net) of cells (cell, radius, parts, points) that have more than one centre: about two for each part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cells, nets = [], []
             for r in batch.to_pylist():
-                net = net_of(_unit(sorted(r["points"]), kind), r["radius"], fan, least)
+                net = net_of(_unit(sorted(r["points"]), kind), r["radius"], min(fan, 2 * r["parts"]), least)
                 if len(net) > 1:
                     cells.append(r["cell"])
                     nets.append([x.tobytes() for x in net])
@@ -226,7 +254,7 @@ def _assign(dealt: DataFrame, nets: DataFrame, kind: type, deal: int) -> DataFra
     """
     shares = F.ceil(F.col("n") / deal).cast("int")
     net = nets.select("cell", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"), F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("id"), F.lit(None).cast("bigint").alias("c"), F.lit(None).cast("binary").alias("v"), "net")
-    rows = dealt.join(nets.select("cell", shares.alias("m")), "cell")
+    rows = dealt.join(F.broadcast(nets.select("cell", shares.alias("m"))), "cell")
     rows = rows.select("cell", F.pmod(F.xxhash64(F.lit(3), "id"), "m").cast("int").alias("share"), F.lit(1).alias("kind"), "id", "c", "v", F.lit(None).cast("array<binary>").alias("net"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,33 +294,40 @@ def surviving(pairs: DataFrame, frontier: DataFrame, reach: float) -> DataFrame:
     return both.where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def leaf_cells(space: Workspace, classes: DataFrame, kind: type, cosine: float, block: int, sample: int, fan: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(vectors with their leaf cell, leaf cells with n, radius and centre, pairs of leaf cells that may link).
+def leaf_cells(space: Workspace, classes: DataFrame, kind: type, cosine: float, block: int, sample: int, fan: int, spread: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(vectors with their leaf cell, leaf cells with n, most, radius and centre, pairs of leaf cells that may link).
 
-    Cells with more than `block` vectors are split by nets of half the radius, level by level, until they have fewer or
+    Cells with more than `most` vectors are split by nets of half the radius, level by level, until they have fewer or
     lie so close together that all of them link. On each level, pairs of cells are pruned before they are split further.
+    `most` is `block`, and up to `spread` times that where the vectors of one length are many, but SIDE bytes.
+    Tables of cells are broadcast: they have a few rows for each `most` vectors.
     """
     reach = float(np.sqrt(2 - 2 * cosine))
     least = reach / 2 - SLACK
-    dealt = space.table(_pack(classes, kind), "cells").withColumn("d", F.lit(2.0))
-    frontier = space.table(dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).select(F.col("cell").alias("parent"), "cell", "n", F.lit(2.0).alias("radius"), F.lit(None).cast("array<double>").alias("centre")), "roots")
+    held = space.table(_pack(classes, kind), "cells")
+    dealt = held.withColumn("d", F.lit(2.0))
+    most = F.least(F.greatest(F.lit(block), F.least(F.ceil(F.col("n") / 8), F.lit(spread * block))), F.greatest(F.lit(1), F.floor(F.lit(SIDE) / (F.col("cell").cast("bigint") * np.dtype(kind).itemsize)))).cast("bigint")
+    frontier = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).select(F.col("cell").alias("parent"), "cell", "n", most.alias("most"), F.lit(2.0).alias("radius"), F.lit(None).cast("array<double>").alias("centre"))
+    frontier = space.table(frontier, "roots")
     pairs = frontier.select(F.col("cell").alias("a"), F.col("cell").alias("b"))
     done = []
     while True:
-        big = frontier.where((F.col("n") > block) & (F.col("radius") > least)).select("cell", "n", "radius")
+        big = frontier.where((F.col("n") > F.col("most")) & (F.col("radius") > least)).select("cell", "n", "most", "radius")
         # a few hundred vectors of each cell, by hash: bounded by its share of the draw, whatever its size
-        drawn = dealt.join(big, "cell").where(F.pmod(F.xxhash64(F.lit(11), "id", "cell"), F.lit(1 << 30)) < F.lit(float(1 << 30)) * 2 * sample / F.col("n"))
-        picked = drawn.groupBy("cell").agg(F.first("radius").alias("radius"), F.collect_list("v").alias("points"))
-        nets = space.table(_nets(picked, kind, fan, least).join(big.select("cell", "n"), "cell"), "nets")
+        drawn = dealt.join(F.broadcast(big), "cell").where(F.pmod(F.xxhash64(F.lit(11), "id", "cell"), F.lit(1 << 30)) < F.lit(float(1 << 30)) * 2 * sample / F.col("n"))
+        picked = drawn.groupBy("cell").agg(F.first("radius").alias("radius"), F.first(F.ceil(F.col("n") / F.col("most"))).alias("parts"), F.collect_list("v").alias("points"))
+        nets = space.table(_nets(picked, kind, fan, least).join(big.select("cell", "n", "most"), "cell"), "nets")
         if not nets.limit(1).count():
             break
-        done.append(dealt.join(nets.select("cell"), "cell", "left_anti").select("id", "c", "v", "cell"))
-        dealt = space.table(_assign(dealt, nets, kind, 16 * block), "cells")
+        done.append(space.table(dealt.join(F.broadcast(nets.select("cell")), "cell", "left_anti").select("id", "c", "v", "cell"), "done"))
+        before, held = held, space.table(_assign(dealt, nets, kind, 16 * block), "cells")
+        space.drop(before)
+        dealt = held
         numbers = "transform(sequence(0, size(net) - 1), k -> struct(concat(cell, '.', k) as cell, net[k] as raw))"
         centres = _doubles(nets.select(F.col("cell").alias("parent"), F.expr(f"inline({numbers})")))
         sizes = dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("d").alias("radius"))
-        split = centres.join(sizes, "cell").select("parent", "cell", "n", "radius", "centre")
-        kept = frontier.join(nets.select("cell"), "cell", "left_anti").select(F.col("cell").alias("parent"), "cell", "n", "radius", "centre")
+        split = centres.join(sizes, "cell").join(nets.select(F.col("cell").alias("parent"), "most"), "parent").select("parent", "cell", "n", "most", "radius", "centre")
+        kept = frontier.join(nets.select("cell"), "cell", "left_anti").select(F.col("cell").alias("parent"), "cell", "n", "most", "radius", "centre")
         frontier = space.table(split.unionByName(kept), "frontier")
         pairs = space.table(surviving(pairs, frontier, reach), "pairs")
     done.append(dealt.select("id", "c", "v", "cell"))
@@ -310,38 +345,70 @@ def _doubles(centres: DataFrame) -> DataFrame:
     return centres.select("parent", "cell", "raw").mapInArrow(run, "parent string, cell string, centre array<double>")
 
 
-def _links(space: Workspace, classes: DataFrame, kind: type, cosine: float, block: int, sample: int, fan: int) -> DataFrame:
-    """(id, n, root): parts of link counts, and roots of spanning forests."""
-    rows, cells, pairs = leaf_cells(space, classes, kind, cosine, block, sample, fan)
+def _tiles(space: Workspace, classes: DataFrame, kind: type, cosine: float, block: int, sample: int, fan: int) -> tuple[DataFrame, ...]:
+    """(blocks of vectors by cell and part, tiles as pairs of those with their bytes, links known without a look)."""
     least = float(np.sqrt(2 - 2 * cosine)) / 2 - SLACK
-    # a cell that is still too big lies closer together than any link is long: all its vectors link, without a look
-    cells = cells.select("cell", F.ceil(F.col("n") / block).cast("int").alias("m"), ((F.col("n") > block) & (F.col("radius") <= least)).alias("dense"))
-    cells = space.table(cells, "leaves")
-    rows = rows.join(cells, "cell").withColumn("part", F.pmod(F.xxhash64(F.lit(5), "id"), "m").cast("int"))
-    rows = space.table(rows, "dealt")
-    dense = rows.where("dense")
-    whole = dense.groupBy("cell").agg(F.sum("c").alias("all"), F.min("id").alias("root"))
-    sure = dense.join(space.table(whole, "dense"), "cell").select("id", (F.col("all") - F.col("c")).alias("n"), "root")
-    blocks = space.table(rows.groupBy("cell", "part").agg(F.collect_list("id").alias("ids"), F.collect_list("c").alias("cs"), F.collect_list("v").alias("vs")), "blocks")
-    sides = pairs.join(cells.select(F.col("cell").alias("a"), F.col("m").alias("ma"), "dense"), "a").join(cells.select(F.col("cell").alias("b"), F.col("m").alias("mb")), "b").where("a <> b or not dense")
-    both = sides.withColumn("pa", F.explode(F.sequence(F.lit(0), F.col("ma") - 1))).withColumn("pb", F.explode(F.sequence(F.lit(0), F.col("mb") - 1))).where("a <> b or pa <= pb").select("a", "pa", "b", "pb")
-    left = blocks.select(F.col("cell").alias("a"), F.col("part").alias("pa"), F.struct("ids", "cs", "vs").alias("one"))
-    right = blocks.select(F.col("cell").alias("b"), F.col("part").alias("pb"), F.struct("ids", "cs", "vs").alias("two"))
-    own = (F.col("a") == F.col("b")) & (F.col("pa") == F.col("pb"))
-    joined = both.join(left, ["a", "pa"]).join(right, ["b", "pb"]).select("one", F.when(~own, F.col("two")).alias("two"))
+    width = F.substring_index("cell", ".", 1).cast("bigint") * np.dtype(kind).itemsize
+    with Workspace(space.spark) as inner:
+        rows, cells, pairs = leaf_cells(inner, classes, kind, cosine, block, sample, fan, SPREAD)
+        # a cell that is still too big lies closer together than any link is long: all its vectors link, without a look
+        cells = cells.withColumn("m", F.ceil(F.col("n") / F.col("most")).cast("int")).withColumn("bytes", F.ceil(F.col("n") * width / F.col("m")))
+        cells = cells.select("cell", "m", "bytes", ((F.col("m") > 1) & (F.col("radius") <= least)).alias("dense"))
+        cells = inner.table(cells, "leaves")
+        part, piece = F.pmod(F.xxhash64(F.lit(5), "id"), "m").cast("int"), F.pmod(F.xxhash64(F.lit(7), "id"), F.ceil(F.col("bytes") / (1 << 20)))
+        rows = rows.join(F.broadcast(cells), "cell")
+        dense = rows.where("dense").select("id", "c", "cell")
+        whole = inner.table(dense.groupBy("cell").agg(F.sum("c").alias("all"), F.min("id").alias("root")), "dense")
+        sure = space.table(dense.join(whole, "cell").select("id", (F.col("all") - F.col("c")).alias("n"), "root"), "sure")
+        blocks = rows.groupBy("cell", part.alias("part"), piece.alias("piece")).agg(F.collect_list("id").alias("ids"), F.collect_list("c").alias("cs"), F.collect_list("v").alias("vs"))
+        blocks = space.table(blocks, "blocks")
+        sides = pairs.join(cells.select(F.col("cell").alias("a"), F.col("m").alias("ma"), F.col("bytes").alias("ba"), "dense"), "a").join(cells.select(F.col("cell").alias("b"), F.col("m").alias("mb"), F.col("bytes").alias("bb")), "b").where("a <> b or not dense")
+        tiles = sides.withColumn("pa", F.explode(F.sequence(F.lit(0), F.col("ma") - 1))).withColumn("pb", F.explode(F.sequence(F.lit(0), F.col("mb") - 1))).where("a <> b or pa <= pb")
+        tiles = space.table(tiles.select("a", "pa", "b", "pb", (F.col("ba") + F.col("bb")).alias("bytes")), "tiles")
+    return blocks, tiles, sure
+
+
+def _links(space: Workspace, classes: DataFrame, kind: type, cosine: float, block: int, sample: int, fan: int, turn: int) -> DataFrame:
+    """(id, n, root): parts of link counts, and roots of spanning forests."""
+    blocks, tiles, sure = _tiles(space, classes, kind, cosine, block, sample, fan)
+    size = blocks.select(F.sum(F.size("ids") * F.length(F.col("vs")[0]))).first()[0] or 0
+    n_tiles, total = tiles.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    turns = max(1, -(-total // max(turn, size)))
+    schema = "id bigint, n bigint, root bigint"
+    tile = ["a", "pa", "b", "pb"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solve(sides: list[list[tuple]]) -> pa.RecordBatch:
+            ids, weights, raw = ([s[k] for side in sides for s in side] for k in range(3))
+            ids = np.concatenate(ids)
+            x = np.frombuffer(b"".join(raw), kind).reshape(len(ids), -1)
+            split = sum(len(s[0]) for s in sides[0]) if sides[1] else None
+            return pa.RecordBatch.from_arrays([pa.array(v) for v in link_blocks(ids, np.concatenate(weights), x, split, cosine, block)], ["id", "n", "root"])
+
+        key, sides = None, [[], []]
         for batch in batches:
             for k in range(batch.num_rows):
-                sides = [batch.column(c)[k] for c in ("one", "two") if batch.column(c)[k].is_valid]
-                ids = np.concatenate([np.array(s["ids"].values) for s in sides])
-                weights = np.concatenate([np.array(s["cs"].values) for s in sides])
-                x = np.frombuffer(b"".join(v for s in sides for v in s["vs"].values.to_pylist()), kind).astype(float).reshape(len(ids), -1)
-                ids, counts, roots = link_blocks(ids, weights, x, len(sides[0]["ids"].values) if len(sides) > 1 else None, cosine)
-                hit = counts > 0
-                yield pa.RecordBatch.from_arrays([pa.array(v[hit]) for v in (ids, counts, roots)], ["id", "n", "root"])
-
-    return joined.mapInArrow(run, "id bigint, n bigint, root bigint").unionByName(sure)
+                at = tuple(batch.column(c)[k].as_py() for c in tile)
+                if at != key:
+                    if key:
+                        yield solve(sides)
+                    key, sides = at, [[], []]
+                ids, cs, vs = (batch.column(c)[k].values for c in ("ids", "cs", "vs"))
+                sides[batch.column("side")[k].as_py()].append((np.array(ids), np.array(cs), b"".join(vs.to_pylist())))
+        if key:
+            yield solve(sides)
+
+    def found(at: int) -> DataFrame:
+        mine = tiles.where(F.pmod(F.xxhash64(*tile), F.lit(turns)) == at)
+        one = mine.select(*tile, F.lit(0).alias("side"), F.col("a").alias("cell"), F.col("pa").alias("part"))
+        two = mine.where("a <> b or pa <> pb").select(*tile, F.lit(1).alias("side"), F.col("b").alias("cell"), F.col("pb").alias("part"))
+        met = blocks.join(F.broadcast(one.unionByName(two)), ["cell", "part"]).select(*tile, "side", "ids", "cs", "vs")
+        n = min(2000, max(int(space.spark.conf.get("spark.sql.shuffle.partitions")), -(-n_tiles // turns)))
+        return met.repartition(n, *tile).sortWithinPartitions(*tile, "side").mapInArrow(run, schema)
+
+    out = space.pieces(map(found, range(turns)), "links")
+    space.drop(blocks, tiles)
+    return out.unionByName(sure)
 
 
 def op1_cover_tree(spark, sf_dir: str) -> DataFrame:

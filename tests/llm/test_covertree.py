@@ -1,4 +1,7 @@
 import math
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -99,3 +102,48 @@ def test_dense_cells_and_long_vectors(spark):
     rows += [(200, [x * 2 for x in rows[60][1]]), (201, [1.0]), (202, [-1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
     assert sorted(map(tuple, near_vectors(df, block=8, fan=4, sample=16).collect()), key=str) == brute(rows)
+
+
+DISK = """
+import os, sys, threading, time
+import numpy as np
+repo, top, n, more = sys.argv[1], sys.argv[2], int(sys.argv[3]), eval(sys.argv[4])
+sys.path.insert(0, repo)
+from pyspark.sql import SparkSession
+from lectern.llm import covertree
+conf = {"spark.master": "local[4]", "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "3g", "spark.local.dir": top + "/own", "spark.checkpoint.dir": "file://" + top + "/shared"}
+spark = SparkSession.builder.config(map=conf).getOrCreate()
+x = np.random.default_rng(3).normal(size=(n, 64)).astype(np.float32)
+x[1] = x[0] * 2 + 0.01
+import pyarrow as pa, pyarrow.parquet as pq
+pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), 64).cast(pa.list_(pa.float32()))}), top + "/in.parquet")
+seen, done = [0], threading.Event()
+def watch():
+    while not done.wait(0.05):
+        now = 0
+        for k in ("own", "shared"):
+            for d, _, names in os.walk(top + "/" + k):
+                for f in names:
+                    try:
+                        now += os.lstat(d + "/" + f).st_size
+                    except OSError:
+                        pass
+        seen.append(now)
+t = threading.Thread(target=watch)
+t.start()
+began = time.time()
+out = covertree.near_vectors(spark.read.parquet(top + "/in.parquet"), **more)
+done.set()
+t.join()
+print("RESULT", max(seen) / (n * 256), out.where("n_links > 0").count(), out.count(), round(time.time() - began))
+"""
+
+
+def test_disk_follows_the_vectors(tmp_path):
+    """Vectors without clusters: what lies on disk at once, shuffles included, stays within 4 times their bytes."""
+    repo = str(Path(__file__).parents[2])
+    said = subprocess.run([sys.executable, "-c", DISK, repo, str(tmp_path), "40000", "dict(block=512, turn=1 << 20)"], capture_output=True, text=True, timeout=900, cwd=repo)
+    found = [x.split() for x in said.stdout.splitlines() if x.startswith("RESULT")]
+    assert found, said.stderr[-2000:]
+    times, linked, rows = found[0][1:4]
+    assert float(times) < 4 and (linked, rows) == ("2", "40000"), found
