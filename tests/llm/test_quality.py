@@ -48,3 +48,26 @@ def test_line_frequency(spark):
     by = {r.doc_id: r for r in got}
     assert by[500].kept and by[500].kept_words == 2000 and by[None].kept and not by[400].kept and not by[401].kept
     assert apply_rules(docs.limit(0)).count() == 0
+
+
+def test_rules_judge_what_is_left(spark):
+    """Symbols, word length and repeated lines reject a document, unless they lie in lines that go."""
+    random.seed(8)
+    prose = lambda n, k=5: " ".join("".join(random.choice("abcdefgh") for _ in range(k)) for _ in range(n))
+    menu = "home | shop | news | help | cart"
+    rows = [(i, prose(60) + "\n" + menu, "a", True) for i in range(30)]  # the menu is frequent there and goes
+    rows += [
+        (100, "\n".join([prose(8), menu] * 2 + [prose(36)]), "b", False),  # too few documents hold it
+        (101, "### ".join(prose(80).split()), "b", False),
+        (102, prose(60, 2), "b", False),
+        (103, prose(60, 11), "b", False),
+        (104, prose(60, 3), "b", True),
+        (105, prose(60, 10), "b", True),
+        (106, "\n".join([prose(60), "x", "x", "x"]), "b", False),  # 2 of 4 lines
+        (107, "\n".join([prose(60), "x", "x", "  x"]), "b", True),  # 1 of 4
+        (108, prose(60) + " |" * 6, "b", True),  # 6 symbols, 66 words
+        (109, prose(60) + " |" * 7, "b", False),  # 7 symbols, 67 words
+        (110, None, "b", False),
+    ]
+    docs = spark.createDataFrame([r[:3] for r in rows], "doc_id long, text string, source string").repartition(3)
+    assert {r.doc_id: r.kept for r in apply_rules(docs).collect()} == {i: kept for i, _, _, kept in rows}
