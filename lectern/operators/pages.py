@@ -45,7 +45,7 @@ def ocr_prefixed(c: Column) -> Column:
 def drop_near_duplicates(pages: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Pages of each doc_id in order, without those too like one of the last accepted ones.
 
-    Only numbers and word sets (as 64-bit hashes) are dealt by deck; the markdown is joined back. A null raw_markdown
+    Only numbers and word sets (as 64-bit hashes) are dealt, by stretches of a deck; the markdown is joined back. A null raw_markdown
     has no words.
     """
     least, jaccard = settings.near_dup_min_words, settings.near_dup_jaccard
