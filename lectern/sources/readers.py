@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lectern.functions.text import strip
 from lectern.operators.buckets import repair
 from lectern.operators.pages import collapse_blank
+from lectern.plans.stage import small_batches
 from lectern.schema import SLIDE_CONTENT, SLIDE_MARKDOWN
 
 
@@ -34,6 +35,8 @@ def preprocessed_json(spark: SparkSession, path: str, doc_id: str | None = None,
     return repair(df.withColumn("doc_id", F.lit(doc_id) if doc_id is not None else stem(F.input_file_name())))
 
 
+#: Characters of pages that a worker gathers before it hands them on, and what a page counts besides its text.
+HELD, ROW = 1 << 20, 200
 Parser = Callable[[bytes], list[tuple[int, str]]]
 
 
@@ -46,10 +49,20 @@ def pdf_pages(files: DataFrame, parser: Parser = plain_parser) -> DataFrame:
     """files (path, content) to doc_id, sha, page_number from 1, raw_markdown: blanks collapsed, empty pages dropped."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["path", "page_number", "markdown"]
         for frame in frames:
-            rows = [(p, n + 1, text) for p, c in zip(frame["path"], frame["content"], strict=True) for n, text in parser(bytes(c))]
-            yield pd.DataFrame(rows, columns=["path", "page_number", "markdown"])
-
+            rows, held = [], 0
+            for p, c in zip(frame["path"], frame["content"], strict=True):
+                for n, text in parser(bytes(c)):
+                    rows.append((p, n + 1, text))
+                    held += len(text) + ROW
+                    if held >= HELD:
+                        yield pd.DataFrame(rows, columns=columns)
+                        rows, held = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
+
+    small_batches(files.sparkSession)
     keys = files.select("path", F.sha2("content", 256).alias("sha"))
     pages = files.select("path", "content").mapInPandas(run, "path string, page_number int, markdown string")
     out = pages.join(keys, "path").select(stem(F.col("path")).alias("doc_id"), "sha", "page_number", strip(collapse_blank(F.col("markdown"))).alias("raw_markdown"))
